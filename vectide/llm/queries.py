@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bpe, decontaminate, langid, quality, simhash
+from vectide.llm import bpe, chat, decontaminate, html, langid, pii, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"))
@@ -40,6 +44,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.adjacent_pairs(_table(spark, sf_dir, "conversations")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,15 +63,24 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_langid": op2_langid,
+        "op3_html": op3_html,
         "op4_decontaminate": op4_decontaminate,
+        "op5_preferences": op5_preferences,
+        "op6_warc": op6_warc,
         "op7_quality": op7_quality,
         "op8_bpe": op8_bpe,
+        "op9_pii": op9_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preferences": chat.SQL, "op6_warc": warc.SQL}
