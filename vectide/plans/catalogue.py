@@ -1,11 +1,517 @@
-"""Registered vector queries and their SQL."""
+"""The registered vector and retrieval queries, and their SQL.
+
+Query sets are all rows whose id is divisible by 20, against all rows. Values
+are rounded to 6 digits on both sides. Each SQL string is independent of the
+Spark code: list functions, windows and recursive queries.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vectide.functions import distances
+from vectide.functions.embed import HashingEmbedder, embed
+from vectide.operators import ann, kmeans, knn, loadstats, rag, topk
+from vectide.sources.vectors import synthetic, table
+from vectide.streaming import microbatch
+
+K, PROBES, CLUSTERS, DIGITS, D = 10, 3, 8, 6, 64
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def _query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+def _rounded(x) -> F.Column:
+    return F.round(x, DIGITS) + 0.0
+
+
+# ---- SQL pieces ----
+
+_VIEWS = """
+with base as (select vec_id, label, embedding::double[] as v from embeddings),
+query_set as (select vec_id as qid, v as q from base where vec_id % 20 = 0)
+"""
+
+
+def _sql_cosine(a: str, b: str) -> str:
+    scale = f"(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+    return f"(1 - case when {scale} = 0 then 0 else list_inner_product({a}, {b}) / {scale} end)"
+
+
+def _sql_metric(metric: str, a: str = "v", b: str = "q") -> str:
+    if metric == "cosine":
+        return _sql_cosine(a, b)
+    if metric == "cosine_chunked":
+        return f"list_sum([{_sql_cosine(f'{a}[2*i+1:2*i+2]', f'{b}[2*i+1:2*i+2]')} for i in range(0, 32)])"
+    return {
+        "l2": f"list_distance({a}, {b})",
+        "l2_squared": f"list_sum([({a}[i] - {b}[i]) * ({a}[i] - {b}[i]) for i in range(1, {D + 1})])",
+        "manhattan": f"list_sum([abs({a}[i] - {b}[i]) for i in range(1, {D + 1})])",
+        "dot": f"list_inner_product({a}, {b})",
+    }[metric]
+
+
+def _sql_round(x: str) -> str:
+    return f"(round({x}, {DIGITS}) + 0.0)"
+
+
+def _sql_knn(metric: str, order: str, k: str = str(K), queries: str = "query_set", single: bool = False, base: str = "base") -> str:
+    columns = "rank, vec_id, dist" if single else "qid, rank, vec_id, dist"
+    where = "where qid = 0" if single else ""
+    return f"""{_VIEWS}, scored as (
+      select qid, vec_id, {_sql_round(_sql_metric(metric))} as dist, {k} as k from {base}, (select * from {queries} {where})
+    ), ranked as (
+      select *, cast(row_number() over (partition by qid order by dist {order}, vec_id) as integer) as rank from scored
+    ) select {columns} from ranked where rank <= k"""
+
+
+# ---- distances ----
+
+
+def _add_distances() -> None:
+    for metric in distances.METRICS:
+
+        def run(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
+            found = knn.distances_to(_vectors(spark, sf_dir), _query_set(spark, sf_dir), metric, D)
+            return found.select("qid", "vec_id", _rounded(F.col("dist")).alias("dist"))
+
+        sql = f"{_VIEWS} select qid, vec_id, {_sql_round(_sql_metric(metric))} as dist from base, query_set"
+        _register(f"dist_{metric}", sql)(run)
+
+
+_add_distances()
+
+
+@_register("vector_norm", f"{_VIEWS} select vec_id, {_sql_round('sqrt(list_inner_product(v, v))')} as value from base")
+def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("vec_id", _rounded(distances.norm(F.col("embedding"))).alias("value"))
+
+
+def _spread(vectors: DataFrame, values) -> DataFrame:
+    return vectors.select("vec_id", F.posexplode(values).alias("pos", "x")).select("vec_id", "pos", _rounded(F.col("x").cast("double")).alias("value"))
+
+
+@_register(
+    "vector_normalize",
+    f"""{_VIEWS} select vec_id, cast(i - 1 as integer) as pos,
+    {_sql_round("v[i] / case when list_inner_product(v, v) = 0 then 1 else sqrt(list_inner_product(v, v)) end")} as value
+    from base, (select unnest(range(1, {D + 1})) as i)""",
+)
+def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_vectors(spark, sf_dir), distances.normalize(F.col("embedding")))
+
+
+@_register("vector_slice", f"{_VIEWS} select vec_id, cast(i - 1 as integer) as pos, {_sql_round('v[8 + i]')} as value from base, (select unnest(range(1, 17)) as i)")
+def vector_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_vectors(spark, sf_dir), distances.part(F.col("embedding"), 8, 16))
+
+
+@_register("rowwise_dot", f"{_VIEWS} select a.vec_id, {_sql_round('list_inner_product(a.v, b.v)')} as dot from base a join base b on b.vec_id = a.vec_id + 1")
+def rowwise_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _vectors(spark, sf_dir)
+    right = left.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return left.join(right, "vec_id").select("vec_id", _rounded(distances.dot(F.col("embedding"), F.col("other"))).alias("dot"))
+
+
+# ---- top-k ----
+
+
+def _sql_top(source: str, key: str, value: str, order: str) -> str:
+    return f"select cast(row_number() over (order by {order}, {key}) as integer) as rank, {key} as id, {value} as value from {source} qualify rank <= {K}"
+
+
+@_register("topk_smallest", _sql_top("events", "event_id", "value", "value"))
+def topk_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value"), "value", "id", K)
+
+
+@_register("topk_largest", _sql_top("events", "event_id", "value", "value desc"))
+def topk_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value"), "value", "id", K, "desc")
+
+
+@_register("topk_abs", _sql_top("customer", "c_custkey", "c_acctbal", "abs(c_acctbal)"))
+def topk_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    return topk.top_k(rows, "value", "id", K, "abs")
+
+
+@_register(
+    "topk_per_group",
+    f"""select event_type as key, cast(row_number() over (partition by event_type order by value desc, event_id) as integer) as rank,
+    event_id as id, value from events qualify rank <= {K}""",
+)
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "value")
+    return topk.top_k_per_group(rows, "key", "value", "id", K, "desc")
+
+
+@_register("topk_gather", f"select t.rank, t.id, t.value, e.user_id from ({_sql_top('events', 'event_id', 'value', 'value')}) t join events e on e.event_id = t.id")
+def topk_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id")
+    return topk.gather(topk_smallest(spark, sf_dir), events, "id").select("rank", "id", "value", "user_id")
+
+
+# ---- exact search ----
+
+
+def _add_searches() -> None:
+    for metric in distances.METRICS:
+        order = "asc" if distances.nearest_first(metric) else "desc"
+
+        def one(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
+            vectors = _vectors(spark, sf_dir)
+            return knn.nearest(vectors, ann.vector_of(vectors, 0), K, metric, digits=DIGITS)
+
+        def batch(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
+            return knn.search(_vectors(spark, sf_dir), _query_set(spark, sf_dir), metric, K, digits=DIGITS)
+
+        if metric != "l2_squared":
+            _register(f"knn_{metric}", _sql_knn(metric, order, single=True))(one)
+            _register(f"knn_batch_{metric}", _sql_knn(metric, order))(batch)
+
+
+_add_searches()
+
+
+@_register("knn_dot_asc", _sql_knn("dot", "asc", single=True))
+def knn_dot_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return knn.nearest(vectors, ann.vector_of(vectors, 0), K, "dot", "asc", DIGITS)
+
+
+@_register("knn_variable_k", _sql_knn("l2", "asc", k="cast(1 + qid // 20 % 5 as integer)"))
+def knn_variable_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _query_set(spark, sf_dir).withColumn("k", F.expr("cast(1 + qid div 20 % 5 as int)"))
+    return knn.search(_vectors(spark, sf_dir), queries, "l2", digits=DIGITS)
+
+
+# ---- K-means ----
+
+_INIT = f"""{_VIEWS}, start as (
+  select cast(row_number() over (order by md5(vec_id::varchar), vec_id) - 1 as integer) as cid, vec_id, v from base qualify cid < {CLUSTERS}
+)"""
+
+
+def _sql_assign(centroids: str, metric: str) -> str:
+    value = {"l2": "list_sum([(v[i] - c[i]) * (v[i] - c[i]) for i in range(1, 65)])", "cosine": _sql_cosine("v", "c")}[metric]
+    return f"select vec_id, any_value(v) as v, arg_min(cid, (round({value}, 12), cid)) as cid from base, (select cid, v as c from {centroids}) group by vec_id"
+
+
+def _sql_update(assigned: str) -> str:
+    return f"""select cid, list(m order by i) as v from (
+      select cid, i, avg(v[i]) as m from {assigned}, (select unnest(range(1, 65)) as i) group by cid, i) group by cid"""
+
+
+def _start(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    rows = kmeans.start_rows(_vectors(spark, sf_dir), CLUSTERS).orderBy("cid").collect()
+    return np.array([list(r["embedding"]) for r in rows], float)
+
+
+@_register("kmeans_init", f"{_INIT} select cid, vec_id from start")
+def kmeans_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.start_rows(_vectors(spark, sf_dir), CLUSTERS).select("cid", "vec_id")
+
+
+def _add_assignments() -> None:
+    for metric in kmeans.METRICS:
+
+        def assign(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
+            return kmeans.assign(_vectors(spark, sf_dir), _start(spark, sf_dir), metric)
+
+        def fit(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
+            return kmeans.fit(_vectors(spark, sf_dir), CLUSTERS, max_iters=3, tol=0.0, metric=metric).assignments
+
+        _register(f"kmeans_assign_{metric}", f"{_INIT}, a as ({_sql_assign('start', metric)}) select vec_id, cid from a")(assign)
+        steps = f"""{_INIT}, a1 as materialized ({_sql_assign("start", metric)}), c1 as materialized ({_sql_update("a1")}),
+        a2 as materialized ({_sql_assign("c1", metric)}), c2 as materialized ({_sql_update("a2")}), a3 as ({_sql_assign("c2", metric)})
+        select vec_id, cid from a3"""
+        _register(f"kmeans_fit_{metric}", steps)(fit)
+
+
+_add_assignments()
+_FIRST = f"{_INIT}, a as materialized ({_sql_assign('start', 'l2')}), u as materialized ({_sql_update('a')})"
+
+
+def _first_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return kmeans.update(kmeans.assigned(vectors, _start(spark, sf_dir)))
+
+
+@_register("kmeans_update", f"{_FIRST} select cid, cast(i - 1 as integer) as pos, {_sql_round('v[i]')} as value from u, (select unnest(range(1, 65)) as i)")
+def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_update(spark, sf_dir).select("cid", "pos", _rounded(F.col("value")).alias("value"))
+
+
+@_register("kmeans_sizes", f"{_FIRST} select cid, count(*) as n from a group by cid")
+def kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_update(spark, sf_dir).where("pos = 0").select("cid", "n")
+
+
+@_register("kmeans_shift", f"{_FIRST} select {_sql_round('max(list_distance(u.v, s.v))')} as shift from u join start s using (cid)")
+def kmeans_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = kmeans.start_rows(_vectors(spark, sf_dir), CLUSTERS).select("cid", F.posexplode("embedding").alias("pos", "old"))
+    moved = _first_update(spark, sf_dir).join(start, ["cid", "pos"]).groupBy("cid").agg(F.sqrt(F.sum((F.col("value") - F.col("old")) ** 2)).alias("d"))
+    return moved.agg(_rounded(F.max("d")).alias("shift"))
+
+
+@_register(
+    "kmeans_empty_repair",
+    f"""{_VIEWS}, ordered as (select row_number() over (order by md5(vec_id::varchar), vec_id) - 1 as n, vec_id from base),
+    sizes as (select label as cid, count(*) as n from base where label not in (3, 7) group by label),
+    empty as (select cid, row_number() over (order by cid) - 1 as k from (select unnest(range(0, 10)) as cid) where cid not in (select cid from sizes))
+    select cast(e.cid as integer) as cid, o.vec_id from empty e join ordered o on o.n = 10 + e.k""",
+)
+def kmeans_empty_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cid"))
+    return kmeans.repair(rows.where("cid not in (3, 7)"), rows, 10)
+
+
+# ---- approximate search: the labels as a ready index ----
+
+_INDEX = f"""{_VIEWS}, centroids as materialized (
+  select label as cid, list(m order by i) as c from (
+    select label, i, avg(v[i]) as m from base, (select unnest(range(1, 65)) as i) group by label, i) group by label
+), probed as materialized (
+  select qid, q, cid, dist, cast(row_number() over (partition by qid order by dist, cid) as integer) as rank from (
+    select qid, q, cid, {_sql_round("list_distance(c, q)")} as dist from centroids, query_set) qualify rank <= {PROBES}
+)"""
+_FOUND = f"""{_INDEX}, found as materialized (
+  select qid, vec_id, dist, cast(row_number() over (partition by qid order by dist, vec_id) as integer) as rank from (
+    select qid, vec_id, {_sql_round("list_distance(v, q)")} as dist from base join probed on label = cid) qualify rank <= {K}
+)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> ann.Index:
+    return ann.from_assignments(table(spark, sf_dir, "embeddings"), "label")
+
+
+@_register("ann_probe", f"{_INDEX} select qid, rank, cid, dist from probed")
+def ann_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.probe(_index(spark, sf_dir), _query_set(spark, sf_dir), PROBES, digits=DIGITS)
+
+
+@_register("ann_candidates", f"{_INDEX} select vec_id from base where label in (select cid from probed where qid = 0)")
+def ann_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return ann.candidates(index, ann.probe(index, _query_set(spark, sf_dir).where("qid = 0"), PROBES, digits=DIGITS)).select("vec_id")
+
+
+@_register("ann_search", f"{_FOUND} select rank, vec_id, dist from found where qid = 0")
+def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return ann.search_one(index, ann.vector_of(index.vectors, 0), K, PROBES, digits=DIGITS)
+
+
+@_register("ann_search_batch", f"{_FOUND} select qid, rank, vec_id, dist from found")
+def ann_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_batch(_index(spark, sf_dir), _query_set(spark, sf_dir), K, PROBES, digits=DIGITS)
+
+
+@_register(
+    "ann_recall",
+    f"""{_FOUND}, exact as (
+      select qid, vec_id from (select qid, vec_id, {_sql_round("list_distance(v, q)")} as dist from base, query_set)
+      qualify row_number() over (partition by qid order by dist, vec_id) <= {K})
+    select e.qid, count(f.vec_id) / {K}.0::double as recall from exact e left join found f on e.qid = f.qid and e.vec_id = f.vec_id group by e.qid""",
+)
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.recall(knn_batch_l2(spark, sf_dir), ann_search_batch(spark, sf_dir), K)
+
+
+def knn_batch_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["knn_batch_l2"](spark, sf_dir)
+
+
+@_register("ann_kmeans_recall")
+def ann_kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall over an index from K-means with the default number of clusters, half
+    of which are probed."""
+    vectors = _vectors(spark, sf_dir)
+    clusters = ann.default_clusters(vectors.count())
+    index = ann.build(vectors, clusters, max_iters=10)
+    found = ann.search_batch(index, _query_set(spark, sf_dir), K, max(1, clusters // 2), digits=DIGITS)
+    return ann.recall(knn_batch_l2(spark, sf_dir), found, K)
+
+
+# ---- retrieval-augmented text ----
+
+_EMBEDDED = """
+with texts as (
+  select 'd' as kind, doc_id as id, text, null::integer as k from documents
+  union all select 'q', conv_id * 1000 + turn, text, cast(1 + turn % 4 as integer) from conversations where role = 'user' and conv_id % 20 = 0
+), tokens as (
+  select kind, id, ('0x' || substr(md5(t), 1, 8))::bigint % 64 as bucket
+  from (select kind, id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) as t from texts) where t <> ''
+), counts as (select kind, id, bucket, count(*)::double as n from tokens group by all
+), norms as (select kind, id, sqrt(sum(n * n)) as norm from counts group by all
+), filled as (
+  select kind, id, k, text, [coalesce(m[b], 0.0) for b in range(0, 64)] as v from (
+    select t.kind, t.id, any_value(t.k) as k, any_value(t.text) as text, map(list(bucket), list(n / norm)) as m
+    from texts t left join counts c on t.kind = c.kind and t.id = c.id left join norms r on t.kind = r.kind and t.id = r.id
+    where bucket is not null group by t.kind, t.id
+    union all
+    select t.kind, t.id, any_value(t.k), any_value(t.text), map([]::bigint[], []::double[]) from texts t anti join counts c on t.kind = c.kind and t.id = c.id group by t.kind, t.id
+  )
+)"""
+
+
+def _sql_retrieve(order: str, k: str) -> str:
+    return f"""{_EMBEDDED}, pairs as materialized (
+      select q.id as qid, d.id as doc_id, d.text, q.text as query, {k} as k, {_sql_round("list_inner_product(d.v, q.v)")} as sim
+      from (from filled where kind = 'd') d, (from filled where kind = 'q') q
+    ), ranked as materialized (
+      select *, cast(row_number() over (partition by qid order by sim {order}, doc_id) as integer) as rank from pairs qualify rank <= k
+    )"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed(table(spark, sf_dir, "documents").select("doc_id", "text"), HashingEmbedder())
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and conv_id % 20 = 0")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text", F.expr("cast(1 + turn % 4 as int)").alias("k"))
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str, own_k: bool) -> DataFrame:
+    found = embed(_asked(spark, sf_dir), HashingEmbedder(), into="q").select("qid", "q", "k")
+    return found if own_k else found.drop("k")
+
+
+@_register("embed_hash", f"{_EMBEDDED} select id as doc_id, cast(b as integer) as pos, {_sql_round('v[b + 1]')} as value from filled, (select unnest(range(0, 64)) as b) where kind = 'd' and v[b + 1] > 0")
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode("embedding").alias("pos", "x")).where("x > 0").select("doc_id", "pos", _rounded(F.col("x")).alias("value"))
+
+
+@_register("rag_retrieve", f"{_sql_retrieve('desc', '2')} select qid, rank, doc_id, sim from ranked")
+def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.retrieve(_documents(spark, sf_dir), _asked_vectors(spark, sf_dir, False), digits=DIGITS)
+
+
+@_register("rag_retrieve_asc", f"{_sql_retrieve('asc', '2')} select qid, rank, doc_id, sim from ranked")
+def rag_retrieve_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.retrieve(_documents(spark, sf_dir), _asked_vectors(spark, sf_dir, False), "asc", DIGITS)
+
+
+@_register("rag_variable_k", f"{_sql_retrieve('desc', 'q.k')} select qid, rank, doc_id, sim from ranked")
+def rag_variable_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.retrieve(_documents(spark, sf_dir), _asked_vectors(spark, sf_dir, True), digits=DIGITS)
+
+
+_PROMPTED = f"""{_sql_retrieve("desc", "2")}, prompted as (
+  select qid, any_value(query) as query, 'Question: ' || any_value(query) || chr(10) || 'Context:' || chr(10)
+    || string_agg(coalesce(text, ''), chr(10) order by rank) || chr(10) || 'Answer:' as prompt from ranked group by qid
+)"""
+
+
+@_register("rag_prompt", f"{_PROMPTED} select qid, prompt from prompted")
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rag.prompts(rag_retrieve(spark, sf_dir), table(spark, sf_dir, "documents"), _asked(spark, sf_dir).select("qid", F.col("text").alias("query")))
+
+
+@_register("rag_pipeline", f"{_PROMPTED} select qid, query, prompt || ' [no model]' as result from prompted")
+def rag_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).select("qid", F.col("text").alias("query"))
+    return rag.answer(_documents(spark, sf_dir), asked, HashingEmbedder(), rag.EchoGenerator(), digits=DIGITS)
+
+
+# ---- micro-batches and load statistics ----
+
+#: Seconds a replayed batch stays open: at the events' gaps both ways of closing occur.
+REPLAY_WAIT = 3600.0
+_BATCHES = f"""
+with recursive arrivals as materialized (
+  select row_number() over (order by ts, event_id) as n, event_id, ts from events where ts is not null
+), scan as (
+  select n, event_id, ts, ts as opened, 1 as held, 0::bigint as batch_id from arrivals where n = 1
+  union all
+  select a.n, a.event_id, a.ts,
+    case when s.held >= {microbatch.SIZE} or epoch_us(a.ts) - epoch_us(s.opened) >= {round(REPLAY_WAIT * 1e6)} then a.ts else s.opened end,
+    case when s.held >= {microbatch.SIZE} or epoch_us(a.ts) - epoch_us(s.opened) >= {round(REPLAY_WAIT * 1e6)} then 1 else s.held + 1 end,
+    case when s.held >= {microbatch.SIZE} or epoch_us(a.ts) - epoch_us(s.opened) >= {round(REPLAY_WAIT * 1e6)} then s.batch_id + 1 else s.batch_id end
+  from scan s join arrivals a on a.n = s.n + 1
+)"""
+
+
+@_register("microbatch_assign", f"{_BATCHES} select event_id, batch_id from scan")
+def microbatch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return microbatch.assign_batches(table(spark, sf_dir, "events"), wait=REPLAY_WAIT).select("event_id", "batch_id")
+
+
+@_register(
+    "microbatch_stats",
+    f"""{_BATCHES} select cast(sum(n) as bigint) as n_requests, count(*) as n_batches, max(n) as max_batch, round(avg(n), 6) as avg_batch
+    from (select batch_id, count(*) as n from scan group by batch_id)""",
+)
+def microbatch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return microbatch.batch_stats(microbatch.assign_batches(table(spark, sf_dir, "events"), wait=REPLAY_WAIT))
+
+
+#: Events as load samples: five rates by user, the value as latency, errors failed.
+_SAMPLES = "with samples as (select [5, 10, 20, 50, 100][1 + user_id % 5] as rate, case when event_type <> 'error' then value end as latency from events)"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = F.array(*[F.lit(r) for r in (5, 10, 20, 50, 100)])
+    rate = F.get(rates, (F.col("user_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select(rate.alias("rate"), F.when(F.col("event_type") != "error", F.col("value")).alias("latency"))
+
+
+@_register(
+    "load_throughput",
+    f"""{_SAMPLES} select rate, count(*) as total, count(latency) as ok, count(*) - count(latency) as failed,
+    round(coalesce(sum(latency), 0), 4) as latency_sum, round(case when sum(latency) > 0 then count(latency) / sum(latency) else 0 end, 6) as throughput from samples group by rate""",
+)
+def load_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loadstats.throughput(_samples(spark, sf_dir))
+
+
+@_register(
+    "load_latency",
+    f"""{_SAMPLES} select rate, round(min(latency), 4) as min, round(avg(latency), 4) as mean, round(quantile_cont(latency, 0.5), 4) as p50,
+    round(quantile_cont(latency, 0.95), 4) as p95, round(max(latency), 4) as max from samples group by rate""",
+)
+def load_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loadstats.latency(_samples(spark, sf_dir))
+
+
+@_register("request_timeouts", f"{_SAMPLES} select case when latency is null then 'failed' when latency > 30 then 'timeout' else 'ok' end as status, count(*) as n from samples group by 1")
+def request_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loadstats.timeouts(_samples(spark, sf_dir))
+
+
+@_register("synth_vectors")
+def synth_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic(spark, 1000, D)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
