@@ -232,3 +232,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", mos
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return found.select(*[F.col(f"`{c}`") for c in names], "__hits").mapInArrow(run, schema)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The query of op4 in SQL: windows of both sides as joined words, matched by equality.
+SQL = f"""
+with docs as materialized (select row_number() over () as r, doc_id, {_SQL_WORDS} as w from documents),
+items as (select coalesce(item_id::varchar, '') as item, {_SQL_WORDS} as w from benchmark),
+item_windows as materialized (
+  select distinct item, size, array_to_string(w[i:i + size - 1], ' ') as g
+  from (select item, w, least(len(w), {WINDOW}) as size, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as i from items where len(w) > 0)
+), doc_windows as (
+  select r, i, size, array_to_string(w[i:i + size - 1], ' ') as g
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, (select distinct size from item_windows) where len(w) >= size)
+), hits as materialized (select r, i, size, item from doc_windows join item_windows using (size, g)),
+hit_words as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + size)) as p from hits) group by r),
+hit_items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct r, item from hits) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit_words using (r) left join hit_items using (r)
+"""

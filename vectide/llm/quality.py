@@ -129,3 +129,46 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
         verdict &= w
     verdict &= F.col("n_symbols") <= SYMBOL_LIMIT * F.col("n_words")
     return some.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict)
+
+
+_SQL_LIMITS = ", ".join(f"({width}, {limit})" for width, limit in LIMITS.items())
+
+_SQL_LEADS = ", ".join(f"lead(word, {k}) over o as l{k}" for k in range(1, max(LIMITS)))
+_SQL_WINDOWS = " union all ".join(
+    f"select r, {n} as size, p as i, row_number() over (partition by r, {', '.join(f'l{k}' for k in range(n))} order by p) as k from following where l{n - 1} is not null"
+    for n in LIMITS
+)
+
+#: The query of op7 in SQL: windows by the words that follow, positions by unnesting.
+SQL = rf"""
+with docs as materialized (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), words as materialized (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from docs),
+totals as (select r, cast(sum(length(word)) as bigint) as word_chars from words group by r),
+lines as (
+  select r, cast(count(*) - count(distinct line) as bigint) as n_dup_lines,
+         (sum(strlen(line)) - sum(strlen(line)) filter (where k = 1)) / sum(strlen(line)) as line_share
+  from (select r, line, row_number() over (partition by r, line) as k from (select r, unnest(string_split(text, chr(10))) as line from docs)
+        where regexp_matches(line, '[^\x20\x09-\x0D]')) group by r
+), following as materialized (
+  select r, p, word as l0, {_SQL_LEADS} from words window o as (partition by r order by p)
+), triples as (
+  select r, p as i, count(*) over (partition by r, l0, l1, l2) as n from following where l2 is not null
+), repeats as (select r, count(distinct p) as n_repeat_words from (select r, unnest(range(i, i + 3)) as p from triples where n > 1) group by r),
+limits(size, most) as (values {_SQL_LIMITS}),
+windows as (
+  {_SQL_WINDOWS}
+), inside as (select distinct r, size, p from (select r, size, unnest(range(i, i + size)) as p from windows where k > 1)),
+shares as (
+  select i.r, i.size, sum(length(word)) / any_value(word_chars) as share from inside i join words using (r, p) join totals on totals.r = i.r group by i.r, i.size
+), over_limit as (select distinct r from shares join limits using (size) where share > most),
+counted as (
+  select docs.r, doc_id, cast(len(w) as bigint) as n_words, coalesce(word_chars, 0) as word_chars,
+         cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(line_share, 0) as line_share
+  from docs left join totals using (r) left join lines using (r) left join repeats using (r)
+), judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and line_share <= {LINE_LIMIT} and n_symbols <= {SYMBOL_LIMIT} * n_words and r not in (select r from over_limit) as kept
+from judged
+"""

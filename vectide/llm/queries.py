@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": chat.SQL, "op6_warc": warc.SQL}
+    return {"op4_decontaminate": decontaminate.SQL, "op5_preferences": chat.SQL, "op6_warc": warc.SQL, "op7_quality": quality.SQL}
