@@ -1,14 +1,14 @@
 """Byte-level BPE over a whole corpus by a global shuffle of distinct words.
 
-1. Documents are cut into pre-tokens in blocks of a few MB. A block is one row:
-   its distinct words, and for each document the sequence of positions' word
-   numbers. It is a written table, as every later step reads it.
-2. The blocks' words are exploded; each distinct word of the corpus is encoded
-   once, and its ids are joined back to the (block, word number) rows. A word
-   occurs at most once a block, so no word is hot.
-3. Blocks and their words' ids meet by block; documents are reassembled by
-   position. Decoding looks every id up in the token-byte table, which has the
-   size of the rank file.
+1. Documents are cut into pre-tokens in blocks of some MB. A block is one row:
+   its distinct words, and for each document the word number at each position.
+   This is a written table, bucketed by block, as both later steps read it.
+2. The blocks' words are exploded and shuffled by word. All rows of a word meet
+   as one run; it is encoded once, and its ids go to each of its (block, word
+   number) rows. A word occurs at most once a block, so no word is hot.
+3. The ids go back to their blocks, many words to a row, and documents are reassembled by position.
+   Decoding looks every id up in the token-byte table, of the size of the rank
+   file.
 
 Defined results: a null text is empty; an empty text has no ids and the digest
 of nothing; repeated rows and ids are kept as they are; further columns are
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from vectide.llm.common import materialise
+from vectide.llm.common import materialise_by
 
-BLOCK_BYTES = 4 << 20
+BLOCK_CHARS = 32 << 20
+PACK_ROWS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -95,15 +97,21 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def _packed(codes: list[int]) -> bytes:
-    """Word numbers by byte plane, which packs small numbers well."""
-    planes = np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 1)
+def _packed(*arrays) -> bytes:
+    """Arrays of small numbers by byte plane, which packs them well."""
+    out = [np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()]
+    out += [np.asarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return zstandard.compress(b"".join(out), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    sizes = raw[4 : 4 + 4 * int(raw[:4].view("<u4")[0])].view("<u4")
+    out, at = [], 4 + 4 * len(sizes)
+    for n in sizes.tolist():
+        out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out
 
 
 def _objects(values: list) -> np.ndarray:
@@ -112,34 +120,47 @@ def _objects(values: list) -> np.ndarray:
     return out
 
 
-def blocks_of(docs: DataFrame, pattern: str, text_col: str, keep: tuple[str, ...], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block``, ``words array<binary>``, ``docs array<struct<keep..., codes>>``."""
+def blocks_of(docs: DataFrame, pattern: str, text_col: str, keep: tuple[str, ...], block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``block``, ``words array<binary>`` (frequent ones first), ``codes`` (packed word
+    numbers of all positions), ``docs array<struct<keep..., __n>>`` with their lengths."""
     some = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = some.drop("__text").schema
-    row = fields.add("__codes", "binary")
-    schema = T.StructType().add("block", "string").add("words", T.ArrayType(T.BinaryType())).add("docs", T.ArrayType(row))
+    row = fields.add("__n", "long")
+    schema = T.StructType().add("block", "long").add("words", T.ArrayType(T.BinaryType())).add("codes", "binary").add("docs", T.ArrayType(row))
     docs_type = to_arrow_type(T.ArrayType(row), timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         number: dict[str, int] = {}
         held: list[dict] = []
+        positions: list[np.ndarray] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            words = pa.array([[w.encode() for w in number]], pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), words, pa.array([held], docs_type)], names=["block", "words", "docs"])
+            codes = np.concatenate(positions)
+            order = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order), dtype="<u4")
+            words = list(number)
+            columns = [
+                pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                pa.array([[words[i].encode() for i in order.tolist()]], pa.list_(pa.binary())),
+                pa.array([_packed(rank[codes] if len(codes) else [])], pa.binary()),
+                pa.array([held], docs_type),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 for r in batch.slice(start, 256).to_pylist():
                     text = r.pop("__text") or ""
-                    codes = [number.setdefault(w, len(number)) for w in find(text)]
-                    held.append(r | {"__codes": _packed(codes)})
+                    codes = np.array([number.setdefault(w, len(number)) for w in find(text)], np.int64)
+                    positions.append(codes)
+                    held.append(r | {"__n": len(codes)})
                     size += len(text)
-                    if size >= block_bytes:
+                    if size >= block_chars:
                         yield block()
-                        number, held, size = {}, [], 0
+                        number, held, positions, size = {}, [], [], 0
         if held:
             yield block()
 
@@ -157,18 +178,35 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
     table = load_ranks(rank_path)
     ranks = spark.sparkContext.broadcast(table)
     tokens = spark.sparkContext.broadcast(token_bytes(table))
-    cut = materialise(blocks_of(docs, pattern, text_col, keep), "blocks")
+    cut = materialise_by(blocks_of(docs, pattern, text_col, keep), "blocks", "block")
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = ranks.value
-        for batch in batches:
-            words = batch.column(0)
-            ids = [np.array(encode_word(w, merges), "<u4").tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+    def encode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, word, coded = ranks.value, None, []
+        parts: dict[int, tuple[list[int], list[int], list[int]]] = defaultdict(lambda: ([], [], []))
+        held = 0
 
-    numbered = cut.select("block", F.posexplode("words").alias("code", "word"))
-    coded = numbered.select("word").distinct().mapInArrow(encode_words, "word binary, ids binary")
-    entries = numbered.join(coded, "word").select(F.col("block").alias("of"), "code", "ids")
+        def packs() -> pa.RecordBatch:
+            columns = [pa.array(list(parts), pa.int64()), pa.array([_packed(*p) for p in parts.values()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["of", "entries"])
+
+        for batch in batches:
+            for w, of, code in zip(*(c.to_pylist() for c in batch.columns)):
+                if w != word:
+                    word, coded = w, encode_word(w, merges)
+                codes, sizes, ids = parts[of]
+                codes.append(code)
+                sizes.append(len(coded))
+                ids += coded
+            held += batch.num_rows
+            if held >= PACK_ROWS:
+                yield packs()
+                parts.clear()
+                held = 0
+        if parts:
+            yield packs()
+
+    numbered = cut.select(F.posexplode("words").alias("code", "word"), F.col("block").alias("of")).select("word", "of", "code")
+    entries = numbered.repartition("word").sortWithinPartitions("word").mapInArrow(encode_runs, "of long, entries binary")
 
     fields = docs.select(*keep).schema.add("n_tokens", "long")
     if with_ids:
@@ -178,25 +216,34 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         token = tokens.value.__getitem__
-        ids = np.empty(right.num_rows, object)
-        for code, x in zip(right.column("code").to_pylist(), right.column("ids").to_pylist()):
-            ids[code] = np.frombuffer(x, "<u4")
-        shown = _objects([" ".join(map(str, x.tolist())) for x in ids])
-        decoded = _objects([b"".join(map(token, x.tolist())) for x in ids])
-        counts = np.array([len(x) for x in ids], np.int64)
+        packs = [_unpacked(x) for x in right.column("entries").to_pylist()] or [_unpacked(_packed([], [], []))]
+        codes, sizes, flat = (np.concatenate(x).astype(np.int64) for x in zip(*packs))
+        ends = np.cumsum(sizes)
+        counts, starts = np.empty_like(sizes), np.empty_like(sizes)
+        counts[codes], starts[codes] = sizes, ends - sizes
+        ids = flat.tolist()
+        words = [ids[a : a + n] for a, n in zip(starts.tolist(), counts.tolist())]
+        shown = _objects([" ".join(map(str, w)) for w in words])
+        decoded = _objects([b"".join(map(token, w)) for w in words])
         rows = []
-        for part in left.column("docs").to_pylist():
-            for r in part:
-                codes = _unpacked(r.pop("__codes"))
-                r["n_tokens"] = int(counts[codes].sum())
+        for docs_part, packed in zip(left.column("docs").to_pylist(), left.column("codes").to_pylist()):
+            (positions,) = _unpacked(packed)
+            at = 0
+            for r in docs_part:
+                n = r.pop("__n")
+                mine = positions[at : at + n]
+                at += n
+                sizes = counts[mine]
+                r["n_tokens"] = int(sizes.sum())
                 if with_ids:
-                    r["ids"] = np.concatenate(ids[codes]).astype(np.int32) if len(codes) else []
-                r["ids_sha256"] = hashlib.sha256(" ".join(shown[codes].tolist()).encode()).hexdigest()
-                r["decoded_sha256"] = hashlib.sha256(b"".join(decoded[codes].tolist())).hexdigest()
+                    steps = np.arange(r["n_tokens"]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    r["ids"] = flat[np.repeat(starts[mine], sizes) + steps].astype(np.int32)
+                r["ids_sha256"] = hashlib.sha256(" ".join(shown[mine].tolist()).encode()).hexdigest()
+                r["decoded_sha256"] = hashlib.sha256(b"".join(decoded[mine].tolist())).hexdigest()
                 rows.append(r)
         return pa.Table.from_pylist(rows, out_schema)
 
-    return cut.select("block", "docs").groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(reassemble, fields)
+    return cut.select("block", "codes", "docs").groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(reassemble, fields)
 
 
 def decode(ids: list[int], tokens: list[bytes]) -> bytes:

@@ -39,6 +39,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``materialise`` into as many buckets by ``key`` as shuffles have partitions,
+    so that a later grouping by ``key`` need not move these rows again."""
+    spark = df.sparkSession
+    table = f"vectide_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved while the catalogue still has the table; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
