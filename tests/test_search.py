@@ -51,7 +51,14 @@ def test_order_and_prefix(spark, rows):
     with pytest.raises(ValueError):
         take(1, metric="dot", order="up")
     with pytest.raises(ValueError):
-        knn.distances_to(f, queries(spark, rows[:3]), "l2", most_queries=2)
+        knn.distances_to(f, queries(spark, rows[:3]), "hamming")
+
+
+@pytest.mark.parametrize("query_bytes", [64 << 20, 600])
+def test_all_distances(spark, rows, query_bytes):
+    found = knn.distances_to(frame(spark, rows), queries(spark, rows[:5]), "manhattan", query_bytes=query_bytes).collect()
+    expected = D.block("manhattan", rows, rows[:5])
+    assert len(found) == 600 and all(abs(r["dist"] - expected[r["vec_id"], r["qid"]]) < 1e-9 for r in found)
 
 
 def test_empty_tables(spark, rows):
@@ -120,6 +127,8 @@ def test_clustered_search(spark, rows, tmp_path):
         found = ann.search_batch(index, q, 5, probes, digits=6)
         recall.append(np.mean([r["recall"] for r in ann.recall(exact, found, 5).collect()]))
     assert recall == sorted(recall) and recall[-1] == 1.0 and recall[0] > 0.2
+    shuffled = ann.search_batch(index, q, 5, 6, digits=6, most_queries=2)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, exact.collect()))
     one = [tuple(r) for r in ann.search_one(index, rows[3], 5, 6, digits=6).orderBy("rank").collect()]
     assert one == [tuple(r) for r in knn.nearest(f, rows[3], 5, digits=6).orderBy("rank").collect()]
     assert ann.default_clusters(500) == 22 and ann.default_clusters(0) == 1

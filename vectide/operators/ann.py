@@ -75,11 +75,12 @@ def search_one(index: Index, query, k: int, probes: int, metric: str = "l2", dig
 
 def search_batch(index: Index, queries: DataFrame, k: int, probes: int, metric: str = "l2", digits: int | None = None, dimensions: int | None = None, most_queries: int = 10_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(qid, rank, id, dist)`` for a table of queries, each against the clusters
-    it probes: a join by cluster, with the queries' side of checked size broadcast."""
-    if (n := queries.limit(most_queries + 1).count()) > most_queries:
-        raise ValueError(f"more than {most_queries} queries ({n}) in one search")
+    it probes: a join by cluster. Up to ``most_queries`` queries, by count, their
+    side is broadcast; beyond, both sides are shuffled, and adaptive execution
+    splits large clusters."""
+    small = queries.limit(most_queries + 1).count() <= most_queries
     probed = probe(index, queries, probes, metric, digits).select("qid", "cid").join(queries.select("qid", "q"), "qid")
-    pairs = index.vectors.select("cid", id_col, vector_col).join(F.broadcast(probed), "cid")
+    pairs = index.vectors.select("cid", id_col, vector_col).join(F.broadcast(probed) if small else probed, "cid")
     dist = distances.column(metric, F.col(vector_col), F.col("q"), dimensions)
     found = pairs.select("qid", id_col, (dist if digits is None else F.round(dist, digits) + 0.0).alias("dist"))
     order = "asc" if distances.nearest_first(metric) else "desc"

@@ -111,10 +111,28 @@ def nearest(vectors: DataFrame, query, k: int, metric: str = "l2", order: str |
     return search(vectors, one, metric, k, order, digits, id_col, vector_col).drop("qid")
 
 
-def distances_to(vectors: DataFrame, queries: DataFrame, metric: str, dimensions: int | None = None, most_queries: int = 10_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Every distance, ``(qid, id, dist)``: a stated query set against all rows.
-    The set is broadcast, which is why its size is checked first."""
-    if (n := queries.limit(most_queries + 1).count()) > most_queries:
-        raise ValueError(f"more than {most_queries} queries ({n}); search() has no such limit")
-    pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(queries.select("qid", "q")))
-    return pairs.select("qid", id_col, distances.column(metric, F.col(vector_col), F.col("q"), dimensions).alias("dist"))
+def distances_to(vectors: DataFrame, queries: DataFrame, metric: str, id_col: str = "vec_id", vector_col: str = "embedding", query_bytes: int = 64 << 20) -> DataFrame:
+    """Every distance, ``(qid, id, dist)``: a stated query set against all rows, the
+    set in blocks of bounded size as in ``search``."""
+    distances.nearest_first(metric)
+    plain = queries.select(F.col("qid").cast("long"), F.col("q").cast("array<double>"), F.lit(0).alias("k"))
+    spark = vectors.sparkSession
+    base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col))
+    schema = f"qid long, `{id_col}` long, dist double"
+    out = None
+    for block in _query_blocks(plain, query_bytes):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, points, _ = shared.value
+            step = max(1, ROW_BYTES // (8 * max(points.shape[1], len(qids))))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    found = distances.block(metric, matrix(part.column(1)), points)
+                    ids = np.repeat(part.column(0).to_numpy(), len(qids))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, part.num_rows)), pa.array(ids), pa.array(found.ravel())], names=["qid", id_col, "dist"])
+
+        part = base.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out

@@ -95,7 +95,7 @@ def _add_distances() -> None:
     for metric in distances.METRICS:
 
         def run(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
-            found = knn.distances_to(_vectors(spark, sf_dir), _query_set(spark, sf_dir), metric, D)
+            found = knn.distances_to(_vectors(spark, sf_dir), _query_set(spark, sf_dir), metric)
             return found.select("qid", "vec_id", _rounded(F.col("dist")).alias("dist"))
 
         sql = f"{_VIEWS} select qid, vec_id, {_sql_round(_sql_metric(metric))} as dist from base, query_set"
