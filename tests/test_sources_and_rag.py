@@ -1,3 +1,4 @@
+import io
 import json
 
 import numpy as np
@@ -16,6 +17,8 @@ def test_readers(spark, tmp_path):
     assert np.array_equal([r["embedding"] for r in got], m)
     np.save(tmp_path / "x.npy", m[0].astype(float))
     assert np.allclose(V.read_npy(spark, str(tmp_path / "x.npy")).first()["embedding"], m[0])
+    parts = V.to_npy(V.read_npy(spark, str(tmp_path / "a.npy")).coalesce(1), 700).orderBy("part").collect()
+    assert len(parts) == 4 and np.array_equal(np.vstack([np.load(io.BytesIO(r["content"])) for r in parts]), m)
     np.savetxt(tmp_path / "a.txt", m[:7], header="seven rows")
     text = V.read_text(spark, str(tmp_path / "a.txt")).orderBy("vec_id").collect()
     assert [r["vec_id"] for r in text] == list(range(7)) and np.allclose([r["embedding"] for r in text], m[:7], atol=1e-6)
@@ -69,3 +72,14 @@ def test_load_statistics(spark):
     assert got == {5: (3, 2, 1, 4.0, 0.5), 10: (1, 0, 1, 0.0, 0.0), 20: (1, 1, 0, 40.0, 0.025)}
     assert {r["status"]: r["n"] for r in loadstats.timeouts(df).collect()} == {"ok": 2, "failed": 2, "timeout": 1}
     assert {r["rate"]: r["p50"] for r in loadstats.latency(df).collect()} == {5: 2.0, 10: None, 20: 40.0}
+
+
+def test_bursts(spark):
+    calls = iter(range(1000))
+
+    def call():
+        if next(calls) % 3 == 0:
+            raise RuntimeError
+
+    got = loadstats.throughput(loadstats.sweep(spark, call, (2, 4))).collect()
+    assert {r["rate"]: r["total"] for r in got} == {2: 2, 4: 4} and sum(r["failed"] for r in got) == 2

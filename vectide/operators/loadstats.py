@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def timed(call: Callable[[], object]) -> float | None:
+    """Seconds that a call takes; None if it fails."""
+    began = time.perf_counter()
+    try:
+        call()
+    except Exception:
+        return None
+    return time.perf_counter() - began
+
+
+def sweep(spark: SparkSession, call: Callable[[], object], rates: tuple[int, ...] = (5, 10, 20, 50, 100)) -> DataFrame:
+    """``(rate, request_id, latency)`` of bursts: for each rate, so many calls at once."""
+    rows: list[tuple[int, int, float | None]] = []
+    for rate in rates:
+        with ThreadPoolExecutor(rate) as pool:
+            rows += [(rate, k, seconds) for k, seconds in enumerate(pool.map(lambda _: timed(call), range(rate)))]
+    return spark.createDataFrame(rows, "rate int, request_id long, latency double")
+
+
 def throughput(samples: DataFrame) -> DataFrame:
     """``(rate, total, ok, failed, latency_sum, throughput)``; the throughput is
     successes over summed latency, that is one over the mean, and 0 if nothing ran."""

@@ -5,19 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    A local session without the setting (tests) gets a temporary folder; on a
+    cluster a missing setting is an error, as no machine-local folder would do.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="vectide-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back. A
-    local session without the setting uses a temporary folder."""
+    """``df`` written as Parquet into the shared folder and read back.
+
+    This cuts the lineage and survives the loss of executors; the folder's owner
+    cleans it up.
+    """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="vectide-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``written`` into as many buckets by ``key`` as shuffles have partitions, so
+    that a later grouping by ``key`` need not move these rows again."""
+    spark = df.sparkSession
+    table = f"vectide_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved while the catalogue still has the table; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out

@@ -7,6 +7,7 @@ Vectors are rows of (vec_id, embedding). The identity is an explicit column.
 from __future__ import annotations
 
 import ast
+import io
 import struct
 from collections.abc import Iterator
 
@@ -68,6 +69,20 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "vec_id long, embedding array<float>")
 
 
+def to_npy(vectors: DataFrame, rows_per_part: int = 1000, vector_col: str = "embedding") -> DataFrame:
+    """``(part, content)``: the vectors in blocks, each a whole ``.npy`` file of
+    float32. Blocks follow the table's partitions; for an order, sort first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_per_part):
+                buffer = io.BytesIO()
+                np.save(buffer, matrix(batch.slice(start, rows_per_part).column(0)).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], names=["content"])
+
+    return vectors.select(vector_col).mapInArrow(run, "content binary").select(F.monotonically_increasing_id().alias("part"), "content")
+
+
 def list_array(rows: np.ndarray) -> pa.Array:
     """A matrix as an Arrow list column."""
     offsets = np.arange(0, rows.size + 1, rows.shape[1] or 1, dtype=np.int32)[: len(rows) + 1]
