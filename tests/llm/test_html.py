@@ -47,7 +47,7 @@ def test_no_article_element():
 def test_edges(spark):
     many = page("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>")
     deep = page("<div>" * 3000 + f"<p>{LONG}</p>")
-    rows = [(1, None), (2, ""), (3, "<p"), (4, "<!-- open"), (5, "<script>open"), (6, "</p></div><"), (7, page("")), (8, many), (9, page(f"<article><p>{LONG}</p></article>")), (9, page(f"<article><p>{LONG}</p></article>")), (None, "&#x41;&bogus;"), (10, deep)]
+    rows = [(1, None), (2, ""), (3, "<p"), (4, "<!-- open"), (5, "<script>open"), (6, "</p></div><"), (7, page("")), (8, many), (9, page(f"<article><p>{LONG}</p></article>")), (9, page(f"<article><p>{LONG}</p></article>")), (None, "&#x41;&bogus;"), (10, deep), (11, "<div>" * 50_000 + "</p>" * 50_000 + "x"), (12, "<div>a" * 20_000)]
     df = spark.createDataFrame([(k, None, h, "x", "y") for k, h in rows], PAGES)
     got = html.extract(df)
     assert got.columns == ["page_id", "url", "text", "n_chars"]

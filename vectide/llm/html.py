@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,6 +32,7 @@ from vectide.llm.mincut import min_cut
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head template svg math select datalist button iframe object audio video canvas noscript form dialog map applet".split())
 _CLOSES_P = _BLOCK - {"caption", "head", "html", "body", "option", "optgroup", "legend", "tbody", "thead", "tfoot", "tr", "td", "th"}
@@ -51,6 +53,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = tuple(".!?:;\"'”»…)。！？")
 
 ADJACENT, SIBLING = 1.0, 0.5
+#: Beyond so many steps a smoothness weight is as good as zero.
+FAR = 60
 
 
 class _Element:
@@ -90,9 +94,15 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
     out: list[tuple[str, float, _Element]] = []
     top = _Element("html", None, "")
     here, at, linked = top, 0, False
+    open_names: Counter[str] = Counter()
     pieces: list[str] = []
     link_size = 0
 
+    def close() -> None:
+        nonlocal here
+        open_names[here.name] -= 1
+        here = here.parent
+
     def flush() -> None:
         nonlocal link_size
         if pieces:
@@ -130,26 +140,26 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
         if name in _VOID:
             continue
         if end:
-            e = here
-            while e is not top and e.name != name:
-                e = e.parent
-            if e is not top:
-                here = e.parent
+            if open_names[name]:  # else a stray tag
+                while here.name != name:
+                    close()
+                close()
                 linked = False
             continue
         if name in _CLOSES_P and here.name == "p":
-            here = here.parent
+            close()
         if here.name in _SIBLINGS.get(name, ()):
-            here = here.parent
+            close()
             if name == "tr" and here.name == "tr":
-                here = here.parent
-        if len(name) == 2 and name[0] == "h" and here.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            here = here.parent
+                close()
+        if name in _HEADINGS and here.name in _HEADINGS:
+            close()
         if name in ("html", "body"):
             continue
         if name != "head" and here.name == "head":
-            here = here.parent
+            close()
         here = _Element(name, here, m[4])
+        open_names[name] += 1
     if at < len(html):
         add(html[at:])
     flush()
@@ -159,15 +169,15 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
 def log_odds(text: str, links: float, element: _Element) -> float:
     """Classifier score of a block; positive for content."""
     size = min(len(text), 240) / 80
-    heading = element.name in ("h1", "h2", "h3", "h4", "h5", "h6")
+    heading = element.name in _HEADINGS
     ends = 1.0 if heading or text.endswith(_ENDS) else -0.5
     return -1.0 + size + ends - 5.0 * links + _OWN.get(element.name, 0.0) + element.evidence
 
 
 def _distance(a: _Element, b: _Element) -> int:
-    """Steps between two elements of the tree."""
+    """Steps between two elements of the tree, or FAR if there are more."""
     n = 0
-    while a is not b:
+    while a is not b and n < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:

@@ -21,6 +21,7 @@ template name, stays; offsets are code points, end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -103,41 +104,45 @@ class Index:
         found = []
         for t, low, high in self.candidates(words):
             name, licence, own = self.templates[t]
-            aligned, misses, first, end = align(own, words, low - BAND, high + BAND)
-            if aligned >= LEAST * len(own):
-                found.append((aligned - misses, -first, name, licence, aligned / len(own), first, end))
-        kept: list[tuple[str, str, float, int, int]] = []
-        for _, _, name, licence, coverage, first, end in sorted(found, key=lambda r: (-r[0], -r[1], r[2])):
-            if all(end <= a or b <= first for _, _, _, a, b in kept):
-                kept.append((licence, name, coverage, first, end))
-        return sorted(kept, key=lambda r: r[3])
+            for aligned, misses, first, end in align(own, words, low - BAND, high + BAND, LEAST * len(own)):
+                found.append((misses - aligned, first, name, end, licence, aligned / len(own)))
+        kept: list[tuple[int, int, str, str, float]] = []
+        for _, first, name, end, licence, coverage in sorted(found):
+            k = bisect(kept, (first,))
+            if (k == len(kept) or end <= kept[k][0]) and (k == 0 or kept[k - 1][1] <= first):
+                kept.insert(k, (first, end, licence, name, coverage))
+        return [(licence, name, coverage, first, end) for first, end, licence, name, coverage in kept]
 
 
-def align(own: list[bytes], words: list[bytes], low: int, high: int) -> tuple[int, int, int, int]:
-    """Best local alignment of a template in the document positions within a band
-    of diagonals: (aligned words, misses inside, first word, word after the last).
+def align(own: list[bytes], words: list[bytes], low: int, high: int, least: float) -> list[tuple[int, int, int, int]]:
+    """Local alignments of a template in the document positions within a band of
+    diagonals, with ``least`` aligned words: (aligned words, misses inside, first
+    word, word after the last), the best for each end.
 
     A miss is an unaligned word of either side between aligned ones; the score is
     aligned words less misses, and fewer misses win among equal scores.
     """
-    none = (0, 0, 0, -1, -1)  # score, aligned, misses, first, end
-    best, before = none, {}
-    for i in range(len(own)):
-        row: dict[int, tuple[int, int, int, int, int]] = {}
+    none = (0, 0, 0, -1)  # score, -misses, aligned, first
+    ends: dict[int, tuple[int, int, int, int]] = {}
+    before: dict[int, tuple[int, int, int, int]] = {}
+    for i, word in enumerate(own):
+        row: dict[int, tuple[int, int, int, int]] = {}
         for j in range(max(0, i + low), min(len(words), i + high + 1)):
             cell = none
-            if own[i] == words[j]:
+            matched = word == words[j]
+            if matched:
                 s = before.get(j - 1, none)
-                cell = (s[0] + 1, s[1] + 1, s[2], s[3] if s[3] >= 0 else j, j + 1)
+                cell = (s[0] + 1, s[1], s[2] + 1, s[3] if s[0] else j)
             for s in (before.get(j, none), row.get(j - 1, none)):
-                if s[0] - 1 > cell[0]:
-                    cell = (s[0] - 1, s[1], s[2] + 1, s[3], s[4])
+                if s[0] > 1 and (s[0] - 1, s[1] - 1) > cell[:2]:
+                    cell = (s[0] - 1, s[1] - 1, s[2], s[3])
+                    matched = False
             if cell[0] > 0:
                 row[j] = cell
-                if (cell[0], -cell[2]) > (best[0], -best[2]):
-                    best = cell
+                if matched and cell[2] >= least and cell[:2] > ends.get(j, none)[:2]:
+                    ends[j] = cell
         before = row
-    return best[1:]
+    return [(aligned, -misses, first, j + 1) for j, (_, misses, aligned, first) in sorted(ends.items())]
 
 
 def word_offsets(text: bytes) -> list[tuple[int, int]]:
