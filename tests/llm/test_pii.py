@@ -37,7 +37,7 @@ def test_base_patterns_against_plain_regular_expressions():
 
 
 def test_long_texts_stay_fast():
-    for text in ["1" * 200_000, "a" * 200_000, "1." * 100_000, "+1 " * 60_000, "@" * 100_000, "a@" * 100_000, "1 1-" * 50_000, "[at] " * 40_000, "password=" * 20_000]:
+    for text in ["1" * 200_000, "a" * 200_000, "1." * 100_000, "+1 " * 60_000, "@" * 100_000, "a@" * 100_000, "1 1-" * 50_000, "[at] " * 40_000, "password=" * 20_000, " ".join(f"user.{i}@x.org user.{i}" for i in range(20_000))]:
         pii.find(text, pii.Field())
 
 

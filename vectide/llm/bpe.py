@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from vectide.llm.common import materialise_by
+from vectide.sources.tables import written_by
 
 BLOCK_CHARS = 32 << 20
-PACK_ROWS = 500_000
+PACK_ROWS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -99,13 +99,17 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 def _packed(*arrays) -> bytes:
     """Arrays of small numbers by byte plane, which packs them well."""
-    out = [np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()]
-    out += [np.asarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
-    return zstandard.compress(b"".join(out), 1)
+    arrays = [np.asarray(x, "<u4") for x in arrays]
+    packer = zstandard.ZstdCompressor(level=1).compressobj()
+    out = [packer.compress(np.array([len(arrays), *map(len, arrays)], "<u4").tobytes())]
+    for x in arrays:
+        for k in range(4):
+            out.append(packer.compress(x.view(np.uint8)[k::4].tobytes()))
+    return b"".join([*out, packer.flush()])
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data), np.uint8)
     sizes = raw[4 : 4 + 4 * int(raw[:4].view("<u4")[0])].view("<u4")
     out, at = [], 4 + 4 * len(sizes)
     for n in sizes.tolist():
@@ -114,12 +118,6 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _objects(values: list) -> np.ndarray:
-    out = np.empty(len(values), object)
-    out[:] = values
-    return out
-
-
 def blocks_of(docs: DataFrame, pattern: str, text_col: str, keep: tuple[str, ...], block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``block``, ``words array<binary>`` (frequent ones first), ``codes`` (packed word
     numbers of all positions), ``docs array<struct<keep..., __n>>`` with their lengths."""
@@ -138,39 +136,43 @@ def blocks_of(docs: DataFrame, pattern: str, text_col: str, keep: tuple[str, ...
 
         def block() -> pa.RecordBatch:
             codes = np.concatenate(positions)
+            positions.clear()
             order = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order), dtype="<u4")
             words = list(number)
+            number.clear()
             columns = [
                 pa.array([uuid.uuid4().int >> 65], pa.int64()),
                 pa.array([[words[i].encode() for i in order.tolist()]], pa.list_(pa.binary())),
-                pa.array([_packed(rank[codes] if len(codes) else [])], pa.binary()),
+                pa.array([_packed(rank[codes])], pa.binary()),
                 pa.array([held], docs_type),
             ]
+            held.clear()
             return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 for r in batch.slice(start, 256).to_pylist():
                     text = r.pop("__text") or ""
-                    codes = np.array([number.setdefault(w, len(number)) for w in find(text)], np.int64)
+                    codes = np.array([number.setdefault(w, len(number)) for w in find(text)], np.int32)
                     positions.append(codes)
                     held.append(r | {"__n": len(codes)})
                     size += len(text)
                     if size >= block_chars:
                         yield block()
-                        number, held, positions, size = {}, [], [], 0
+                        size = 0
         if held:
             yield block()
 
     return some.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``keep`` columns, ``n_tokens``, ``ids`` (if asked for), ``ids_sha256`` of the
     decimal ids joined by spaces, ``decoded_sha256`` of the decoded bytes.
 
+    A block of text is what a task holds at once; larger blocks shuffle fewer words.
     ``rank_path`` is read by the driver; its table, of the vocabulary's size, is
     sent to the executors.
     """
@@ -178,7 +180,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
     table = load_ranks(rank_path)
     ranks = spark.sparkContext.broadcast(table)
     tokens = spark.sparkContext.broadcast(token_bytes(table))
-    cut = materialise_by(blocks_of(docs, pattern, text_col, keep), "blocks", "block")
+    cut = written_by(blocks_of(docs, pattern, text_col, keep, block_chars), "blocks", "block")
 
     def encode_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, word, coded = ranks.value, None, []
@@ -221,10 +223,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
         ends = np.cumsum(sizes)
         counts, starts = np.empty_like(sizes), np.empty_like(sizes)
         counts[codes], starts[codes] = sizes, ends - sizes
-        ids = flat.tolist()
-        words = [ids[a : a + n] for a, n in zip(starts.tolist(), counts.tolist())]
-        shown = _objects([" ".join(map(str, w)) for w in words])
-        decoded = _objects([b"".join(map(token, w)) for w in words])
+        shown, decoded = np.empty(len(counts), object), np.empty(len(counts), object)
+        for k, (a, n) in enumerate(zip(starts.tolist(), counts.tolist())):
+            word = flat[a : a + n].tolist()
+            shown[k] = " ".join(map(str, word))
+            decoded[k] = b"".join(map(token, word))
         rows = []
         for docs_part, packed in zip(left.column("docs").to_pylist(), left.column("codes").to_pylist()):
             (positions,) = _unpacked(packed)

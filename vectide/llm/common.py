@@ -1,55 +1,10 @@
-"""Helpers that the training-data operators share: the shared folder, written
-intermediate tables, and Arrow batch plumbing."""
+"""Arrow batch plumbing that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A local session without the setting (tests) gets a temporary folder; on a
-    cluster a missing setting is an error, as no machine-local folder would do.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="vectide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage and survives the loss of executors; the folder's
-    owner cleans it up.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """``materialise`` into as many buckets by ``key`` as shuffles have partitions,
-    so that a later grouping by ``key`` need not move these rows again."""
-    spark = df.sparkSession
-    table = f"vectide_{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    out = spark.table(table)
-    out.schema  # resolved while the catalogue still has the table; the files stay
-    spark.sql(f"DROP TABLE {table}")
-    return out
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -58,6 +13,9 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns never clash."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what Python holds
+    beside an Arrow batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialise
+from vectide.sources.tables import written
+
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -34,15 +35,14 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, root)`` for every node that occurs in ``links``; root is the
-    smallest node reachable. Self links give no row; rows with nulls are ignored.
-    """
+    """``(node, root)`` for every linked node but the roots; root is the smallest
+    node reachable. Self links and rows with nulls are ignored."""
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("p"), F.col(b).alias("q"))
-    pairs = materialise(pairs.where("p <> q").select("a", "b").distinct(), "links")
+    pairs = written(pairs.where("p <> q").select("a", "b").distinct(), "links")
     state = None
     while True:
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or state == (now["n"], now["h"]):
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = (now["n"], now["h"])
-        pairs = materialise(_star(_star(pairs, large=True), large=False), "stars")
+        pairs = written(_star(_star(pairs, large=True), large=False), "stars")

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.common import materialise, texts
+from vectide.llm.common import slices, texts
+from vectide.sources.tables import written
 
 WINDOW = 10
 #: Maps A-Z to a-z and every byte that is no part of a word to a space.
@@ -162,7 +163,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> l
         yield [(r["name"], words_of(r["text"].encode())) for r in part]
 
 
-def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 400_000, into: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 150_000, into: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (array of word spans, merged) and
     ``items`` (sorted ids), or as named by ``into``; columns so named are replaced."""
     spark = docs.sparkSession
@@ -175,12 +176,12 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     first = True
     for block in _blocks(items, item_id, item_text, block_words):
         if not first:
-            state = materialise(state, "hits")
+            state = written(state, "hits")
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 counts, spans, names = [], [], []
                 before = [[]] * batch.num_rows, [[]] * batch.num_rows
                 if batch.num_columns > base:
@@ -222,7 +223,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", mos
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = batch.columns[: len(names)]
             at = names.index(text_col)
             spans = batch.column(batch.num_columns - 1).to_pylist()

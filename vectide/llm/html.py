@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectide.llm.common import slices
 from vectide.llm.mincut import min_cut
 
 # Element names of HTML by their part in the layout, and the words
@@ -207,7 +208,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     schema = some.drop("__html").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             last = batch.num_columns - 1
             made = [main_text(h) for h in batch.column(last).to_pylist()]
             columns = [*batch.columns[:last], pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())]

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.llm.common import slices
+
 CLASSES = 64
 SLOTS = CLASSES + CLASSES**2 + CLASSES**3
 CHUNK = 1 << 20
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.predict(batch.column(at).to_pylist())
             columns = [*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *into])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import texts
+from vectide.llm.common import slices, texts
 from vectide.llm.license_texts import templates
 
 GRAM, WINNOW, BAND, LEAST = 3, 3, 8, 0.8
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(source)
-        for batch in batches:
+        for batch in slices(batches):
             last = batch.num_columns - 1
             rows, found = [], []
             for k, text in enumerate(texts(batch.column(last))):

@@ -25,14 +25,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectide.llm.common import slices
+
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
 LABELS = ["none", *KINDS]
@@ -52,6 +56,7 @@ _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,18}(?![0-9A-Za-z])")
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]{1,63})+")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
+_HANDLE = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{5,}+(?!@)")
 _KEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
 PRIOR = {
@@ -125,14 +130,19 @@ def _loose(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
         found += [(m.start(1), m.end(1), "named") for m in _NAMED.finditer(text)]
     if "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
         found += [(m.start(), m.end(), "written") for m in _WRITTEN.finditer(text)]
-    for local in {text[a:b].split("@")[0] for a, b, kind in base if kind == "email"}:
-        if len(local) >= 5 and not local.isalpha():
-            found += [(m.start(), m.end(), "handle") for m in re.finditer(rf"(?<![A-Za-z0-9._%+@-]){re.escape(local)}(?![A-Za-z0-9_%+@-])", text, re.I)]
+    locals_ = {text[a:b].split("@")[0].lower() for a, b, kind in base if kind == "email"}
+    locals_ = {x for x in locals_ if len(x) >= 5 and not x.isalpha()}
+    if locals_:
+        for m in _HANDLE.finditer(text):
+            handle = m[0].rstrip(".-")
+            if handle.lower() in locals_:
+                found.append((m.start(), m.start() + len(handle), "handle"))
     strength = ["named", "key", "written", "handle", "hex", "number"]
-    taken, out = sorted((a, b) for a, b, _ in base), []
-    ends = np.maximum.accumulate([b for _, b in taken]) if taken else []
+    out: list[tuple[int, int, str]] = []
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((b for _, b, _ in base), max))  # of all spans that begin so far
     for a, b, source in sorted(set(found), key=lambda c: (c[0], strength.index(c[2]))):
-        k = np.searchsorted([s for s, _ in taken], b) - 1 if taken else -1
+        k = bisect_left(starts, b) - 1
         if (k < 0 or ends[k] <= a) and (not out or out[-1][1] <= a):
             out.append((a, b, source))
     return out
@@ -307,7 +317,7 @@ def scan(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[str,
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             last = batch.num_columns - 1
             found = [find(t or "", shared.value) for t in batch.column(last).to_pylist()]
             counts = [pa.array([sum(s[2] == kind for s in base) for base, _ in found], pa.int64()) for kind in BASE]
@@ -324,7 +334,7 @@ def redacted(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             cleaned = [t and redact(t, find(t, shared.value)[1]) for t in columns[at].to_pylist()]
             columns[at] = pa.array(cleaned, columns[at].type)

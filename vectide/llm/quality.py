@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.common import texts
+from vectide.llm.common import slices, texts
 
 #: Most share of characters in repeated windows, by window length.
 LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -116,7 +116,7 @@ def score(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     schema = schema.add("window_shares", T.ArrayType(T.DoubleType())).add("line_share", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             last = batch.num_columns - 1
             found = list(zip(*map(measure, texts(batch.column(last))))) or [[]] * 7
             made = [pa.array(x, pa.int64()) for x in found[:5]] + [pa.array(found[5], pa.list_(pa.float64())), pa.array(found[6], pa.float64())]

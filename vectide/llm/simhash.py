@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialise, texts
+from vectide.llm.common import slices, texts
 from vectide.llm.components import connected_components
+from vectide.sources.tables import written
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, [keep...], fp)`` per row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             last = batch.num_columns - 1
             made = pa.array([fingerprint(t) for t in texts(batch.column(last))], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(last)], made], names=[*batch.schema.names[:last], "fp"])
@@ -197,7 +198,7 @@ def near_links(prints: DataFrame, distance: int = 2, dense: int = 32) -> DataFra
             keys.append(F.struct(F.lit(k).alias("part"), key.alias("key"), F.lit(m == 0).alias("indexed")))
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.*")
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if("indexed").alias("held")).where("n > 1 and held > 0").drop("held")
-    rows = materialise(rows.join(sizes, ["part", "key"]), "buckets")
+    rows = written(rows.join(sizes, ["part", "key"]), "buckets")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     left = rows.where(f"indexed and n <= {dense}").select("part", "key", F.col("fp").alias("a"))
     right = rows.where(f"n <= {dense}").select("part", "key", F.col("fp").alias("b"))
@@ -218,8 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints within ``distance`` bits link; root is the smallest fingerprint
     reachable and component_id the smallest id.
     """
-    printed = materialise(fingerprints(docs, id_col, text_col, keep), "prints")
-    distinct = materialise(printed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    printed = written(fingerprints(docs, id_col, text_col, keep), "prints")
+    distinct = written(printed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(near_links(distinct.select("fp"), distance), "a", "b")
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -235,7 +236,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     found = near_duplicates(tagged, id_col, text_col, distance, keep=("__row",))
     chosen = found.groupBy("root", "id", "__row").agg(F.count("*").alias("n"))
     chosen = chosen.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("u"), "id", "__row", "n")).alias("x"))
-    chosen = materialise(chosen.select(F.col("x.id").alias("__id"), F.col("x.__row").alias("__r"), F.col("x.n").alias("__n")), "kept")
+    chosen = written(chosen.select(F.col("x.id").alias("__id"), F.col("x.__row").alias("__r"), F.col("x.n").alias("__n")), "kept")
     match = (F.col("__row") == F.col("__r")) & F.col(id_col).eqNullSafe(F.col("__id"))
     once = tagged.join(chosen.where("__n = 1"), match, "left_semi")
     again = tagged.join(chosen.where("__n > 1"), match, "left_semi").dropDuplicates(docs.columns)
