@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import distances
 from vectide.operators.topk import top_k_per_group
+from vectide.sources.tables import written
 from vectide.sources.vectors import matrix
 
 ROW_BYTES = 32 << 20
@@ -50,6 +51,8 @@ def _query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[tuple[np.nda
     """(ids, vectors, k) of the queries, in blocks of bounded size."""
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
     count = max(1, -(-size["n"] * (8 * (size["d"] or 0) + 16) // query_bytes))
+    if count > 1:  # several passes read the queries: compute them once
+        queries = written(queries, "queries")
     for block in range(count):
         part = queries if count == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block)
         rows = part.orderBy("qid").toArrow()
