@@ -49,3 +49,13 @@ def test_model_does_not_see_held_out_rows(spark):
 def test_nothing_to_learn(spark, data):
     df = spark.createDataFrame(data, DOCS)
     assert [r["lang_pred"] for r in langid.identify(df, langid.train(df)).collect()] == ["und"] * len(data)
+
+
+def test_a_text_in_no_learned_language_is_not_claimed(spark):
+    model = langid.fit([(lang, t) for _, t, lang, _ in rows(300) if lang != "zz"])
+    clean = [t for _, t, lang, _ in rows(200, seed=9) if lang != "zz"]
+    short = [" ".join(t.split()[:n]) for t in clean for n in (1, 2)]
+    foreign = ["Это документ на незнакомом языке", "日本語", "xqzv jkwq zzxv qqjk vbxz wkqj", "Ten dokument jest napisany w języku, którego nikt nie zna"]
+    assert all(claimed for _, _, claimed in model.judge(clean + short))
+    assert not any(claimed for _, _, claimed in model.judge(foreign + ["12", "", None]))
+    assert all(score >= 1 / 2 for _, score in model.predict(foreign))  # the score can't tell

@@ -75,3 +75,11 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_what_no_language_claims(spark, tmp_path):
+    rows = [r for r in corpus()[0] if r[1] and langid.has_letter(r[1])]
+    foreign = [(900, "Это документ на незнакомом языке, который должен уйти", None, "s", 9, "r", "h"), (901, "xqzv jkwq zzxv qqjk vbxz wkqj", None, "s", 9, "r", "h")]
+    short = [(910, "kalomi", None, "s", 6, "r", "h"), (911, "strungße lichung", None, "s", 9, "r", "h")]
+    kept = P.identify_language(spark, spark.createDataFrame(rows + foreign + short, DOCS), str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(r[0]) for r in rows + short)

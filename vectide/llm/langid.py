@@ -16,6 +16,12 @@ else, prediction above all, works on whole texts of all rows.
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without any labelled row all are ``und``; ties go to the first language in
 order; repeated rows are predicted alike (and count once in the sample).
+
+The scores of a text sum to a constant over the languages, so the best of them
+cannot say that a text is in none. What can is the share of its distinct n-grams
+that any landmark holds: a text is claimed unless that share is under what the
+landmarks hold of each other, less a margin for short texts. Landmarks of all
+languages count, so that a text in two of them is claimed.
 """
 
 from __future__ import annotations
@@ -36,6 +42,9 @@ CLASSES = 64
 SLOTS = CLASSES + CLASSES**2 + CLASSES**3
 CHUNK = 1 << 20
 UND = "und"
+#: Texts are claimed down to this part of the landmarks' median share, less so many
+#: standard deviations of a share of the text's n-grams.
+USUAL, MARGIN = 0.85, 3.0
 
 
 def has_letter(text: str | None) -> bool:
@@ -77,9 +86,10 @@ class Model:
     sizes: np.ndarray  # distinct n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
+    usual: float  # least usual share of a text's n-grams that any landmark holds
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        """Kernel block of the texts (rows) and the landmarks."""
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of the slots in each text, and each text's distinct n-grams."""
         flags = np.zeros(SLOTS, bool)
         presence = np.zeros((len(texts), len(self.slots)), np.float32)
         sizes = np.ones(len(texts))
@@ -88,17 +98,32 @@ class Model:
             _mark(t, self.table, flags)
             presence[k] = flags[self.slots]
             sizes[k] = max(1, np.count_nonzero(flags))
+        return presence, sizes
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """Kernel block of the texts (rows) and the landmarks."""
+        return self._kernel(*self.presence(texts))
+
+    def _kernel(self, presence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return (presence @ self.landmarks) / np.sqrt(np.outer(sizes, self.sizes))
 
     def predict(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UND, 0.0)] * len(texts)
+        return [(lang, score) for lang, score, _ in self.judge(texts, block)]
+
+    def judge(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float, bool]]:
+        """Language, score, and whether any language claims the text."""
+        out: list[tuple[str, float, bool]] = [(UND, 0.0, False)] * len(texts)
         rows = [k for k, t in enumerate(texts) if self.languages and has_letter(t)]
         for start in range(0, len(rows), block):
             part = rows[start : start + block]
-            values = self.kernel([texts[k] for k in part]) @ self.weights + self.bias
+            presence, sizes = self.presence([texts[k] for k in part])
+            values = self._kernel(presence, sizes) @ self.weights + self.bias
             best = values.argmax(axis=1)
-            for k, b, v in zip(part, best, values[np.arange(len(part)), best]):
-                out[k] = (self.languages[b], float(min(1.0, max(0.0, (v + 1) / 2))))
+            known = presence.sum(axis=1) / sizes
+            least = self.usual - MARGIN * np.sqrt(self.usual * (1 - self.usual) / sizes)
+            claimed = known > np.maximum(0, least)
+            for k, b, v, c in zip(part, best, values[np.arange(len(part)), best], claimed):
+                out[k] = (self.languages[b], float(min(1.0, max(0.0, (v + 1) / 2))), bool(c))
         return out
 
 
@@ -109,14 +134,17 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 128, ridge: float = 1e-3)
     languages = sorted({lang for lang, _ in rows})
     table = _alphabet([t for _, t in rows])
     if not languages:
-        return Model([], table, np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+        return Model([], table, np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0)
     share = max(1, landmarks // len(languages))
     chosen = [t for lang in languages for t in [t for own, t in rows if own == lang][:share]]
     flags = np.zeros((len(chosen), SLOTS), bool)
     for k, t in enumerate(chosen):
         _mark(t, table, flags[k])
     slots = np.flatnonzero(flags.any(axis=0))
-    model = Model(languages, table, slots, flags[:, slots].T.astype(np.float32), flags.sum(axis=1).astype(float), np.zeros((len(chosen), len(languages))), np.zeros(len(languages)))
+    presence, sizes = flags[:, slots].astype(np.float32), flags.sum(axis=1).astype(float)
+    # Each landmark against the others.
+    usual = USUAL * float(np.median(presence @ (presence.sum(axis=0) > 1) / sizes))
+    model = Model(languages, table, slots, presence.T, sizes, np.zeros((len(chosen), len(languages))), np.zeros(len(languages)), usual)
 
     values, vectors = np.linalg.eigh(model.kernel(chosen))
     good = values > 1e-6 * values.max()
@@ -152,17 +180,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(sample(docs, id_col, text_col, lang_col, per_language), landmarks)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, or as named by ``into``; columns
-    so named are replaced."""
+    so named are replaced. A third name adds whether any language claims the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(*into)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = shared.value.predict(batch.column(at).to_pylist())
-            columns = [*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            found = shared.value.judge(batch.column(at).to_pylist())
+            added = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            columns = [*batch.columns, *added[: len(into)]]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *into])
 
-    return docs.mapInArrow(run, T.StructType(list(docs.schema)).add(into[0], "string").add(into[1], "double"))
+    schema = T.StructType(list(docs.schema))
+    for name, kind in zip(into, ("string", "double", "boolean")):
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)
