@@ -39,9 +39,13 @@ BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def lowered(text: bytes) -> bytes:
+    return text.translate(_LOWER)
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """Signed 64-bit majority fingerprint of the word shingles of UTF-8 bytes."""
-    words = text.translate(_LOWER).split()
+    words = lowered(text).split()
     if not words:
         return 0
     width = min(width, len(words))
@@ -231,13 +235,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
     """The rows of ``docs`` with one document of each group: that with the
     smallest id (then row hash; of rows alike in every column, one). All columns stay."""
-    digest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    tagged = docs.withColumn("__row", digest)
-    found = near_duplicates(tagged, id_col, text_col, distance, keep=("__row",))
+    rows = tagged(docs)
+    return least_of_each(docs, rows, near_duplicates(rows, id_col, text_col, distance, keep=("__row",)), id_col)
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of each row, ``__row``."""
+    return docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+
+
+def least_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``docs``, tagged as ``rows``, less all but the least of each root of
+    ``found(id, __row, root)``."""
     chosen = found.groupBy("root", "id", "__row").agg(F.count("*").alias("n"))
     chosen = chosen.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("u"), "id", "__row", "n")).alias("x"))
     chosen = written(chosen.select(F.col("x.id").alias("__id"), F.col("x.__row").alias("__r"), F.col("x.n").alias("__n")), "kept")
     match = (F.col("__row") == F.col("__r")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    once = tagged.join(chosen.where("__n = 1"), match, "left_semi")
-    again = tagged.join(chosen.where("__n > 1"), match, "left_semi").dropDuplicates(docs.columns)
+    once = rows.join(chosen.where("__n = 1"), match, "left_semi")
+    again = rows.join(chosen.where("__n > 1"), match, "left_semi").dropDuplicates(docs.columns)
     return once.unionByName(again).drop("__row")
