@@ -3,6 +3,7 @@ import pytest
 
 from vectide.functions import distances as D
 from vectide.operators import ann, kmeans, knn, topk
+from vectide.plans import catalogue
 
 
 def frame(spark, rows, parts=3):
@@ -134,3 +135,16 @@ def test_clustered_search(spark, rows, tmp_path):
     assert ann.default_clusters(500) == 22 and ann.default_clusters(0) == 1
     plan = index.vectors.where("cid = 2")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(cid" in plan
+
+
+@pytest.mark.parametrize("name", ["ann_kmeans_recall", "ann_label_recall"])
+def test_chosen_probes_reach_the_recall(spark, name):
+    found = catalogue.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == 25 and np.mean([r["recall"] for r in found]) >= 0.9
+
+
+def test_fewest_probes(spark, rows):
+    f, q = frame(spark, rows), queries(spark, rows[:8])
+    index, exact = ann.build(f, 6, max_iters=5), knn.search(f, q, k=5, digits=6)
+    means = [np.mean([r["recall"] for r in ann.recall(exact, ann.search_batch(index, q, 5, p, digits=6), 5).collect()]) for p in range(1, 7)]
+    assert ann.choose_probes(index, q, exact, 0.9, digits=6) == next(p for p, m in enumerate(means, 1) if m >= 0.9 - 1e-9)

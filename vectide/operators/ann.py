@@ -93,6 +93,21 @@ def recall(exact: DataFrame, approximate: DataFrame, k: int, id_col: str = "vec_
     return exact.join(hits, ["qid", id_col], "left").groupBy("qid").agg((F.count("hit") / F.lit(float(k))).alias("recall"))
 
 
+def choose_probes(index: Index, queries: DataFrame, exact: DataFrame, least: float = 0.9, metric: str = "l2", digits: int | None = None, id_col: str = "vec_id") -> int:
+    """The fewest probes whose mean recall of the queries' ``exact`` neighbours is
+    at least ``least``: one pass, by the rank of each neighbour's cluster."""
+    clusters = index.centroids.count()
+    ranks = probe(index, queries, clusters, metric, digits).select("qid", "cid", "rank")
+    own = exact.select("qid", id_col).join(index.vectors.select(id_col, "cid"), id_col)
+    counts = {r["rank"]: r["count"] for r in own.join(ranks, ["qid", "cid"]).groupBy("rank").count().collect()}
+    total, found = sum(counts.values()), 0
+    for rank in sorted(counts):
+        found += counts[rank]
+        if found >= least * total:
+            return rank
+    return clusters
+
+
 def vector_of(vectors: DataFrame, key: int, id_col: str = "vec_id", vector_col: str = "embedding") -> np.ndarray:
     row = vectors.where(F.col(id_col) == key).select(vector_col).first()
     if row is None:
