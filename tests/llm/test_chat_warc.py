@@ -105,3 +105,14 @@ def test_files_round_trip(spark, tmp_path):
         assert fields["warc-block-digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
         assert fields["warc-source-payload-digest"] == "sha256:" + hashlib.sha256(page).hexdigest()
         assert fields["warc-type"] != "metadata" or b"http-header: X-Own: 1\r\n" in body
+
+
+def test_references_and_links_of_every_form(spark):
+    page = """<head><title>t</title></head><p>It&#8217;s &#xE9;t&eacute; &hellip;&mdash; A&amp;lt;B&nbsp;C &unknown; AT&T</p>
+    <a href='/one'>1</a><A class=x HREF=/two>2</A><a href = "/three?a=1&amp;b=&eacute;">3</a><a title='href="/no"' href="/four">4</a>
+    <!-- <a href="/hidden">h</a> --><script>var x = '<a href="/script">s</a>';</script><a name="n">5</a><abbr href="/no">6</abbr>"""
+    rows = warc.derive(warc.responses(spark.createDataFrame([(1, "u", page, "p", "b")], PAGES))).collect()
+    by = {r["warc_type"]: r["block"] for r in rows}
+    assert by["conversion"].startswith("It’s été …— A&lt;B C &unknown; AT&T\n")
+    found = [line[9:] for line in by["metadata"].split("\r\n") if line.startswith("outlink: ")]
+    assert found == ["/one", "/two", "/three?a=1&b=é", "/four"]

@@ -7,7 +7,11 @@ conversion record with the payload as plain text. Ids derive from the response
 id and the record type, so a rerun makes the same records. Digests are SHA-256
 in hex, of the block and of the source's payload.
 
-DataFrame functions only, but for the reader of WARC files.
+DataFrame functions only, but for the reader of WARC files, the decoding of
+character references and the links: Arrow. All references of HTML that end in a
+semicolon are decoded in plain text and links; links are those of ``a`` elements
+with any quoting, outside comments, scripts and other raw text. The title stays
+as written.
 
 Defined results: a null payload is empty and its records say so; a null URI,
 date or header is the empty value; repeated responses give repeated records;
@@ -18,7 +22,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +32,8 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 
-# What plain text drops, breaks at, and decodes.
+# What plain text drops, breaks at, and decodes. References and links
+# are here as the SQL has them.
 _DROP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 _BREAK = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 _TAG = r"<[^>]*>"
@@ -34,6 +41,45 @@ _REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), (
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 _LINK = r'(?i)<a\b[^>]*?\bhref="([^"]*)"'
 
+_REFERENCE = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+_RAW_OR_A = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<a(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]\S*))?""")
+
+
+def decode(text: str) -> str:
+    """Text with its references decoded, in one pass; a no-break space is a space."""
+    return _REFERENCE.sub(lambda m: unescape(m[0]).replace("\xa0", " "), text) if "&" in text else text
+
+
+def links(page: str) -> list[str]:
+    """Decoded targets of the ``a`` elements of a page, in its order."""
+    out = []
+    for m in _RAW_OR_A.finditer(page):
+        if m[2] is not None:
+            target = next((v for name, v in _ATTRIBUTE.findall(m[2]) if name.lower() == "href"), None)
+            if target is not None:
+                out.append(re.sub(r"[\r\n\t]", "", decode(target[1:-1] if target[:1] in ('"', "'") else target)))
+    return out
+
+
+def _decoded(text) -> F.Column:
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([decode(t or "") for t in column.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def _outlinks(payload) -> F.Column:
+    @F.arrow_udf("array<string>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([links(t or "") for t in column.to_pylist()], pa.list_(pa.string()))
+
+    return run(payload)
+
 
 def record_id(*parts) -> F.Column:
     """``<urn:uuid:...>`` from a digest of the parts."""
@@ -62,8 +108,7 @@ def plain_text(payload) -> F.Column:
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(text, _BREAK, "\n")
     text = F.regexp_replace(text, _TAG, "")
-    for name, value in _REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(value))
+    text = _decoded(text)
     return F.trim(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), "^\n|\n$", ""))
 
 
@@ -73,13 +118,13 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
     ``block_digest``, ``content_length``, ``block``."""
     source = F.col("payload")
     title = F.trim(F.regexp_replace(F.regexp_extract(source, _TITLE, 1), r"\s+", " "))
-    links = F.array_join(F.transform(F.regexp_extract_all(source, F.lit(_LINK), 1), lambda u: F.concat(F.lit("outlink: "), u, F.lit(CRLF))), "")
+    outlinks = F.array_join(F.transform(_outlinks(source), lambda u: F.concat(F.lit("outlink: "), u, F.lit(CRLF))), "")
     fields = F.concat(
         F.array_join(F.transform(F.split("http_headers", CRLF), lambda h: F.concat(F.lit("http-header: "), h, F.lit(CRLF))), ""),
         F.lit("payload-length: "), F.octet_length(source).cast("string"), F.lit(CRLF),
         F.lit("payload-digest: "), digest(source), F.lit(CRLF),
         F.lit("title: "), title, F.lit(CRLF),
-        links,
+        outlinks,
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
