@@ -3,7 +3,7 @@ import random
 from pyspark.sql import types as T
 
 from vectide.llm import licenses as L
-from vectide.llm.license_texts import TEXTS
+from vectide.llm.license_texts import TEXTS, WHOLE
 
 DOCS = T.StructType().add("doc_id", "long").add("text", "string").add("license", "string").add("end", "string")
 
@@ -68,3 +68,13 @@ def test_documents(spark):
     assert spans[5].startswith("Permission is") and spans[5].endswith("of the Software") and 0.8 <= got[5][0]["coverage"] < 1
     assert got[11][0]["template"] == "Apache-2.0 text" and got[11][0]["coverage"] == 1
     assert L.scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_whole_texts_end_at_their_ends():
+    index = L.Index()
+    for spdx, text in WHOLE.items():
+        n = len(text.encode().translate(L._FOLD).split())
+        found = index.reports(f"ordinary words before it {text} and other ones".encode())
+        assert [(licence, name, coverage, end - first) for licence, name, coverage, first, end in found] == [(spdx, f"{spdx} whole text", 1.0, n)]
+    for spdx in WHOLE.keys() & TEXTS.keys():  # a text cut before its end is not the whole text
+        assert [(r[0], r[1]) for r in index.reports(TEXTS[spdx].encode())] == [(spdx, f"{spdx} text")]
