@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from pyspark.sql import types as T
 
@@ -57,3 +58,69 @@ def test_edges(spark):
     assert by[1] == by[2] == by[3] == by[4] == by[5] == by[7] == ""
     assert by[8].count(LONG) == 3000 and by[9] == LONG and by[10] == LONG
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_names_are_evidence_and_attributes_are_parsed():
+    one = f"<p>{LONG}</p>"
+    whole = {
+        f'<article class="post-1 hentry tag-news category-trending">{one}{one}</article>': 2,
+        f'<div class="layout has-sidebar"><main><article>{one}</article></main></div>': 1,
+        f'<div class="site no-sidebar"><div class="entry-content">{one}</div></div>': 1,
+        f'<div class="page-no-sidebar">{one}</div>': 1,
+        f'<article><p title="a hidden gem" data-x="class=ad">{LONG}</p></article>': 1,
+        f'<article><p data-class="sidebar" id=first>{LONG}</p></article>': 1,
+        f'<div class="page-banner-outerspace"><div>{one}{one}</div></div>': 2,
+        f'<div class="content-sidebar-wrap"><main class="content">{one}</main></div>': 1,
+    }
+    for text, n in whole.items():
+        assert html.main_text(page(text)) == "\n\n".join([LONG] * n), text
+    for away in (
+        f'<div id="onetrust-consent-sdk">{one}</div>',
+        f"<div class=ad>{LONG}</div>",
+        f"<div class='post-sidebar'>{one}</div>",
+        f'<div class="sidebar"><article><h3>Teaser</h3>{one}</article></div>',
+        f'<div id="comments"><ol><li class="comment"><article class="comment-body"><div class="comment-content">{one}</div></article></li></ol></div>',
+        f'<div role="alert">{one}</div>',
+        f'<p hidden>{LONG}</p><p style="color:red; display : none">{LONG}</p>',
+        f'<a href="/x"><div>{LONG}</div><p>{LONG}</p></a>',
+    ):
+        assert html.main_text(page(away + f"<article>{one}</article>")) == LONG, away
+    assert html.main_text(f"<article>{one}<section><h1>Replies</h1><article>{one}</article></section></article>").count(LONG) == 1
+
+
+def test_edges_decide():
+    """Blocks that their own score would put on the wrong side."""
+    pages = {
+        f"<div><h1>Head</h1><p>{LONG}</p><p>Short</p><p>{LONG}</p></div>": ["Head", LONG, "Short", LONG],
+        f"<article><p>{LONG}</p><p><a href='/y'>A line that is a link</a></p><p>{LONG}</p></article>": [LONG, "A line that is a link", LONG],
+        f"<div><p>{LONG}</p><p>{LONG}</p></div><ul><li><a href='/a'>One</a></li><li>Two of the menu, here.</li><li><a href='/b'>Three</a></li></ul>": [LONG, LONG],
+    }
+    changed = 0
+    for text, want in pages.items():
+        scores, _ = html.graph(html.blocks(text))
+        assert html.main_text(text).split("\n\n") == want
+        changed += [b[0] for b, s in zip(html.blocks(text), scores) if s > 0] != want
+    assert changed == 2
+
+
+def test_pages_against_exhaustive_cuts():
+    rng = random.Random(3)
+    parts = [f"<p>{LONG}</p>", "<p>Short</p>", "<p><a href=x>Linked words</a></p>", "<li>Item.</li>", f'<div class="promo-x">{LONG}</div>', "<h2>Head</h2>", "<div class=share>Tell others</div>", "<div class='entry'>", "</div>", "<section>", "</section>", "<aside>", "</aside>"]
+    turned = 0
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 11)))
+        found = html.blocks(text)
+        scores, edges = html.graph(found)
+        least = min((cost(x, scores, edges) for x in itertools.product([False, True], repeat=len(found))), default=0)
+        labels = min_cut(scores, edges)
+        assert abs(cost(labels, scores, edges) - least) < 1e-6
+        assert html.main_text(text) == "\n\n".join(b[0] for b, x in zip(found, labels) if x)
+        turned += any(x != (s > 0) for x, s in zip(labels, scores))
+    assert turned >= 20
+
+
+def test_odd_markup_takes_linear_time():
+    began = time.perf_counter()
+    for odd in ("<!-- ", "<script></script ", '<p x=">"', "<a href='", "<div ", "<a '>", "<p a", "&", "</p>", "<b", '<p """>', "<p '\">"):
+        html.main_text(odd * 50_000)
+    assert time.perf_counter() - began < 60

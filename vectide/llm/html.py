@@ -5,12 +5,22 @@ linear classifier over the block's length, links, punctuation, own element and
 ancestors gives each block log-odds of being content; these become terminal
 capacities. Smoothness edges join neighbours in page order, more weakly the
 farther apart they are in the element tree, and successive blocks of one
-parent. The maximum flow separates content from boilerplate.
+parent; both fade with the difference of what the ancestors say, so that an
+advert between two paragraphs is held by neither. The maximum flow separates
+content from boilerplate: a short or linked block goes with its neighbours.
+
+Class and id names are evidence, not verdicts. A name that is wholly a layout
+word (``sidebar``, ``comment-list``) counts in full; one with such a word among
+others counts less, in as far as the element does not hold most of the page's
+text; prefixes of states and categories (``has-``, ``no-``, ``tag-``) count
+nothing. Evidence adds up over ancestors within bounds, and what compounds say
+ends at ``article`` and ``main``.
 
 Defined results: null html is empty; text of scripts, styles, titles, forms,
 comments and hidden elements is never a block; a page without content has the
 empty text; unclosed and stray tags are tolerated; an unclosed comment or
-script runs to the end; repeated rows give equal rows.
+script runs to the end; of repeated attributes the first counts; repeated rows
+give equal rows.
 """
 
 from __future__ import annotations
@@ -38,69 +48,136 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _DROPPED = frozenset("head template svg math select datalist button iframe object audio video canvas noscript form dialog map applet".split())
 _CLOSES_P = _BLOCK - {"caption", "head", "html", "body", "option", "optgroup", "legend", "tbody", "thead", "tfoot", "tr", "td", "th"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_ELEMENT = {"nav": -9.0, "menu": -9.0, "footer": -9.0, "aside": -9.0, "search": -9.0, "article": 2.5, "main": 2.5, "blockquote": 0.5, "table": -0.5}
+_ELEMENT = {"nav": -6.0, "menu": -6.0, "footer": -6.0, "aside": -6.0, "search": -6.0, "article": 2.5, "main": 2.5, "blockquote": 0.5, "table": -0.5}
 _OWN = {"p": 0.5, "h1": 3.0, "h2": 1.0, "h3": 1.0, "h4": 0.5, "pre": 1.5, "blockquote": 1.0, "li": -0.5, "td": -0.5, "th": -0.5, "div": -0.5, "body": -1.0, "html": -1.0}
 _BAD = frozenset(
-    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail widget footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended trending copyright disclaimer toolbar skip search tags meta".split()
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended trending copyright disclaimer toolbar skip search tags meta".split()
+)
+_PLACES = frozenset(
+    "area bar block body bottom box buttons col column container content desktop fixed form global group header holder inner item items left link links list lists main menus mobile outer page panel primary region right root row secondary section site slot sticky thread top unit wrap wrapper".split()
 )
+_STATES = frozenset("has no not with without is hide show".split())
+_PREFIXES = frozenset("tag category cat tax type status format layout js template theme single".split())
+_TALK = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+_AWAY = _TALK | frozenset("ad ads advert advertisement sponsored promo related recommended widget".split())
 _GOOD = frozenset("article articlebody content post entry story main text body prose".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Evidence of a name that is a layout word, of one that holds such a word among
+#: others, and of a good one; sums over ancestors stay within MOST.
+WORD, COMPOUND, GOOD, MOST = -6.0, -4.0, 1.5, 9.0
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z!?/][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea|xmp)\b[^>]*>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(?<=[\s"'])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = tuple(".!?:;\"'”»…)。！？")
 
-ADJACENT, SIBLING = 1.0, 0.5
+ADJACENT, SIBLING = 1.2, 0.6
 #: Beyond so many steps a smoothness weight is as good as zero.
 FAR = 60
 
 
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes in the text of a tag; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in "\"'" else value) if value else "")
+    return found
+
+
+def _named(value: str, own: frozenset[str]) -> tuple[float, float]:
+    """(evidence of layout words, of compounds and good words) of the names in a
+    class or id; ``own`` are the words that count."""
+    words_only = among = 0.0
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        bad = own.intersection(words)
+        if not words or len(words) > 1 and words[0] in _PREFIXES or _STATES.intersection(words[:-1]):
+            continue
+        if bad:
+            good = _GOOD.intersection(words)
+            if all(w in _BAD or w in _PLACES for w in words) and (bad & _TALK or not good):
+                words_only = WORD
+            elif not good or words[-1] in bad:
+                among = min(among, COMPOUND)
+        elif "header" in words or "head" in words:
+            among = min(among, COMPOUND / 2)
+        elif _GOOD.intersection(words):
+            among = among or GOOD
+    return words_only, among
+
+
 class _Element:
-    __slots__ = ("name", "parent", "depth", "evidence", "dropped", "inside")
+    """``firm`` and ``loose`` are the element's own evidence; ``evidence`` the sum
+    with its ancestors', once the page's text is placed."""
+
+    __slots__ = ("name", "parent", "depth", "firm", "loose", "evidence", "firmly", "loosely", "dropped", "inside", "size")
 
     def __init__(self, name: str, parent: _Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.evidence = parent.evidence if parent else 0.0
-        self.inside = bool(parent and parent.inside) or name in ("article", "main")
+        self.size = 0
+        inside = bool(parent and parent.inside)
         self.dropped = bool(parent and parent.dropped) or name in _DROPPED
-        self.evidence += _ELEMENT.get(name, 0.0)
+        self.firm, self.loose = _ELEMENT.get(name, 0.0), 0.0
+        text = name in ("article", "main")
+        if name == "article" and inside and parent.inside == "article":
+            self.firm = WORD  # articles in an article are what readers say, or teasers
         if name == "header":
-            self.evidence -= 2.0 if self.inside else 9.0
+            self.firm = COMPOUND / 2 if inside else WORD
+        self.inside = name if text else inside and parent.inside
         if attributes:
-            for key, value in _ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), value.strip("\"'")
-                if key in ("class", "id"):
-                    words = {w.lower() for w in _WORDS.findall(value)}
-                    if words & _BAD:
-                        self.evidence -= 9.0
-                    elif "header" in words or "head" in words:
-                        self.evidence -= 2.0 if self.inside else 6.0
-                    elif words & _GOOD:
-                        self.evidence += 1.5
-                elif key == "role" and value.lower() in _BAD_ROLES:
-                    self.evidence -= 9.0
-                elif key == "role" and value.lower() in ("main", "article"):
-                    self.evidence += 2.5
-                    self.inside = True
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                    self.dropped = True
+            held = attributes_of(attributes)
+            for key in ("class", "id"):
+                if key in held:
+                    firm, loose = _named(held[key], _AWAY if text else _BAD)
+                    self.firm += firm
+                    self.loose += max(loose, 0.0) if text else loose
+            role = held.get("role", "").lower()
+            if role in _BAD_ROLES:
+                self.firm += WORD
+            elif role in ("main", "article"):
+                self.firm += 2.5
+                self.inside = role
+            style = "".join(held.get("style", "").lower().split())
+            if "hidden" in held or held.get("aria-hidden", "").lower() == "true" or "display:none" in style:
+                self.dropped = True
+
+
+def _weigh(elements: list[_Element]) -> None:
+    """Evidence of all elements, parents first, from their own and their sizes."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.size += e.size
+    total = max(1, elements[0].size)
+    for e in elements:
+        firmly, loosely = (e.parent.firmly, e.parent.loosely) if e.parent else (0.0, 0.0)
+        if e.name == "main" or e.name == "article" and firmly > WORD:
+            loosely = max(loosely, 0.0)
+        own = e.loose
+        if own < 0:  # an element with most of the text is a frame around the page
+            own *= min(1.0, 2 * (1 - e.size / total))
+        e.firmly = min(MOST, max(-MOST, firmly + e.firm))
+        e.loosely = min(MOST / 3, max(-MOST, loosely + own))
+        e.evidence = min(MOST, max(-MOST, e.firmly + e.loosely))
 
 
 def blocks(html: str) -> list[tuple[str, float, _Element]]:
     """(text, share of it inside links, element) of each block in page order."""
     out: list[tuple[str, float, _Element]] = []
     top = _Element("html", None, "")
-    here, at, linked = top, 0, False
+    elements = [top]
+    here, at = top, 0
+    link_in: _Element | None = None  # the element in which a link is open
     open_names: Counter[str] = Counter()
     pieces: list[str] = []
     link_size = 0
 
     def close() -> None:
-        nonlocal here
+        nonlocal here, link_in
+        if here is link_in:
+            link_in = None
         open_names[here.name] -= 1
         here = here.parent
 
@@ -110,6 +187,7 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
             text = " ".join("".join(pieces).split())
             if text:
                 out.append((text, min(1.0, link_size / len(text)), here))
+                here.size += len(text)
             pieces.clear()
             link_size = 0
 
@@ -118,7 +196,7 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
         if not here.dropped:
             text = unescape(text) if "&" in text else text
             pieces.append(text)
-            if linked:
+            if link_in is not None:
                 link_size += len(text)
 
     for m in _TOKEN.finditer(html):
@@ -130,7 +208,7 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
             continue
         name, end = name.lower(), m[2]
         if name == "a":
-            linked = not end
+            link_in = None if end else here
             continue
         if name == "br":
             pieces.append(" ")
@@ -145,7 +223,6 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
                 while here.name != name:
                     close()
                 close()
-                linked = False
             continue
         if name in _CLOSES_P and here.name == "p":
             close()
@@ -160,10 +237,12 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
         if name != "head" and here.name == "head":
             close()
         here = _Element(name, here, m[4])
+        elements.append(here)
         open_names[name] += 1
     if at < len(html):
         add(html[at:])
     flush()
+    _weigh(elements)
     return out
 
 
@@ -172,7 +251,7 @@ def log_odds(text: str, links: float, element: _Element) -> float:
     size = min(len(text), 240) / 80
     heading = element.name in _HEADINGS
     ends = 1.0 if heading or text.endswith(_ENDS) else -0.5
-    return -1.0 + size + ends - 5.0 * links + _OWN.get(element.name, 0.0) + element.evidence
+    return -1.0 + size + ends - 4.0 * links + _OWN.get(element.name, 0.0) + element.evidence
 
 
 def _distance(a: _Element, b: _Element) -> int:
@@ -187,19 +266,27 @@ def _distance(a: _Element, b: _Element) -> int:
     return n
 
 
-def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    scores = [log_odds(*b) for b in found]
+def graph(found: list[tuple[str, float, _Element]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of the blocks, and the smoothness edges between them."""
     edges = []
     last: dict[int, int] = {}
     for k, (_, _, element) in enumerate(found):
+
+        def like(j: int, here: _Element = element) -> float:
+            return math.exp(-abs(found[j][2].evidence - here.evidence) / 2)
+
         if k:
-            edges.append((k - 1, k, ADJACENT * math.exp(-_distance(found[k - 1][2], element) / 4)))
+            edges.append((k - 1, k, ADJACENT * like(k - 1) * math.exp(-_distance(found[k - 1][2], element) / 4)))
         parent = id(element.parent or element)
         if parent in last:
-            edges.append((last[parent], k, SIBLING))
+            edges.append((last[parent], k, SIBLING * like(last[parent])))
         last[parent] = k
-    return "\n\n".join(b[0] for b, content in zip(found, min_cut(scores, edges)) if content)
+    return [log_odds(*b) for b in found], edges
+
+
+def main_text(html: str | None) -> str:
+    found = blocks(html or "")
+    return "\n\n".join(b[0] for b, content in zip(found, min_cut(*graph(found))) if content)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
