@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,21 +22,42 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="vectide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    folder = tempfile.mkdtemp(prefix="vectide-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back.
 
-    This cuts the lineage and survives the loss of executors; the folder's owner
-    cleans it up.
+    This cuts the lineage and survives the loss of executors. ``remove`` deletes
+    it; what a result still reads stays, and the folder's owner cleans it up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing will read them again;
+    any other table is left alone."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def fresh(name: str, *used: DataFrame) -> str:
+    """``name``, with underscores added until no table has such a column."""
+    taken = {c.lower() for df in used for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
