@@ -83,6 +83,14 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == [(-1, "alone in this group"), (1, "same text here now"), (5, "quite another text of words"), (8, "")]
 
 
+def test_keep_one_tells_rows_with_nulls_apart(spark):
+    kind = T.StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add("source", "string").add("__row", "string").add("__n", "string")
+    rows = [(1, "the same text", None, "x", "p", None), (1, "the same text", "x", None, "p", None), (1, "the same text", "x", None, None, "p")]
+    for order in (rows, rows[::-1], rows + rows):
+        got = simhash.keep_one(spark.createDataFrame(order, kind))
+        assert got.columns == kind.names and [tuple(r) for r in got.collect()][0] in rows and got.count() == 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(df).count() == 0

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.sources.tables import written
-
+from vectide.sources.tables import remove, written
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -43,6 +42,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now["n"] == 0 or state == (now["n"], now["h"]):
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.written_to = pairs.written_to  # for ``remove``
+            return out
         state = (now["n"], now["h"])
-        pairs = written(_star(_star(pairs, large=True), large=False), "stars")
+        before, pairs = pairs, written(_star(_star(pairs, large=True), large=False), "stars")
+        remove(before)

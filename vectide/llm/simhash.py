@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm.common import slices, texts
 from vectide.llm.components import connected_components
-from vectide.sources.tables import written
+from vectide.sources.tables import fresh, remove, written
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -235,22 +235,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
     """The rows of ``docs`` with one document of each group: that with the
     smallest id (then row hash; of rows alike in every column, one). All columns stay."""
-    rows = tagged(docs)
-    return least_of_each(docs, rows, near_duplicates(rows, id_col, text_col, distance, keep=("__row",)), id_col)
+    rows, tag = tagged(docs)
+    return least_of_each(docs, rows, tag, near_duplicates(rows, id_col, text_col, distance, keep=(tag,)), id_col)
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """``docs`` with a hash of each row, ``__row``."""
-    return docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+def tagged(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of each row, nulls and their places included, and the
+    name of that column, which no column of ``docs`` has."""
+    tag = fresh("__row", docs)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn(tag, F.xxhash64(*[x for c in own for x in (c.cast("string"), c.isNull())])), tag
 
 
-def least_of_each(docs: DataFrame, rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+def least_of_each(docs: DataFrame, rows: DataFrame, tag: str, found: DataFrame, id_col: str) -> DataFrame:
     """``docs``, tagged as ``rows``, less all but the least of each root of
-    ``found(id, __row, root)``."""
-    chosen = found.groupBy("root", "id", "__row").agg(F.count("*").alias("n"))
-    chosen = chosen.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("u"), "id", "__row", "n")).alias("x"))
-    chosen = written(chosen.select(F.col("x.id").alias("__id"), F.col("x.__row").alias("__r"), F.col("x.n").alias("__n")), "kept")
-    match = (F.col("__row") == F.col("__r")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    once = rows.join(chosen.where("__n = 1"), match, "left_semi")
-    again = rows.join(chosen.where("__n > 1"), match, "left_semi").dropDuplicates(docs.columns)
-    return once.unionByName(again).drop("__row")
+    ``found(id, <tag>, root)``."""
+    chosen = found.select("root", F.struct(F.col("id").isNull().alias("u"), "id", F.col(tag).alias("row")).alias("x"))
+    chosen = chosen.groupBy("root", "x").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("x", "n")).alias("y"))
+    names = [fresh(c, rows) for c in ("__id", "__r", "__n")]
+    chosen = written(chosen.select(F.col("y.x.id").alias(names[0]), F.col("y.x.row").alias(names[1]), F.col("y.n").alias(names[2])), "kept")
+    match = (F.col(tag) == F.col(names[1])) & F.col(f"`{id_col}`").eqNullSafe(F.col(names[0]))
+    once = rows.join(chosen.where(f"{names[2]} = 1"), match, "left_semi")
+    again = rows.join(chosen.where(f"{names[2]} > 1"), match, "left_semi").dropDuplicates([tag, id_col])
+    return once.unionByName(again).drop(tag)
