@@ -128,7 +128,7 @@ def test_clustered_search(spark, rows, tmp_path):
         found = ann.search_batch(index, q, 5, probes, digits=6)
         recall.append(np.mean([r["recall"] for r in ann.recall(exact, found, 5).collect()]))
     assert recall == sorted(recall) and recall[-1] == 1.0 and recall[0] > 0.2
-    shuffled = ann.search_batch(index, q, 5, 6, digits=6, most_queries=2)
+    shuffled = ann.search_batch(index, q, 5, 6, digits=6, query_bytes=600)
     assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, exact.collect()))
     one = [tuple(r) for r in ann.search_one(index, rows[3], 5, 6, digits=6).orderBy("rank").collect()]
     assert one == [tuple(r) for r in knn.nearest(f, rows[3], 5, digits=6).orderBy("rank").collect()]
@@ -148,3 +148,73 @@ def test_fewest_probes(spark, rows):
     index, exact = ann.build(f, 6, max_iters=5), knn.search(f, q, k=5, digits=6)
     means = [np.mean([r["recall"] for r in ann.recall(exact, ann.search_batch(index, q, 5, p, digits=6), 5).collect()]) for p in range(1, 7)]
     assert ann.choose_probes(index, q, exact, 0.9, digits=6) == next(p for p, m in enumerate(means, 1) if m >= 0.9 - 1e-9)
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "manhattan"])
+def test_vectors_that_are_not_numbers(spark, metric):
+    kind = "vec_id long, embedding array<float>"
+    nan = float("nan")
+    data = [(k, [float(k), 1.0]) for k in (4, 2, 9)] + [(k, [nan, 1.0]) for k in (8, 1, 7, 3)] + [(5, None), (None, [0.0, 0.0]), (6, [None, 2.0])]
+    df = spark.createDataFrame(data, kind).repartition(2)
+    for k in (1, 3, 5, 50):
+        got = [r["vec_id"] for r in knn.nearest(df, [0.0, 1.0], k, metric=metric, digits=6).orderBy("rank").collect()]
+        numbers = [2, 4, 9] if metric != "dot" else [2, 4, 9][:0] + sorted([4, 2, 9], key=lambda i: (-1.0, i))
+        assert got == (numbers + [1, 3, 6, 7, 8])[:k], (metric, k)
+    with pytest.raises(Exception, match="dimensions"):
+        knn.nearest(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], kind).coalesce(1), [0.0, 1.0], 2).collect()
+    asked = "qid long, q array<double>, k int"
+    for bad, said in (((0, None, 1), "null"), ((0, [0.0, 1.0], None), "needs k")):
+        with pytest.raises(ValueError, match=said):
+            knn.search(df, spark.createDataFrame([bad], asked)).collect()
+
+
+@pytest.mark.parametrize("metric", ["l2", "l2_squared", "cosine"])
+@pytest.mark.parametrize("digits", [None, 2])
+def test_many_queries_ties_and_small_slices(spark, monkeypatch, metric, digits):
+    """Slices of a few rows, values that tie, and sums much larger than distances."""
+    rng = np.random.default_rng(7)
+    rows = rng.integers(0, 3, size=(400, 3)).astype(float) + (1e4 if metric != "cosine" else 1)
+    q = rows[:60] + rng.choice([0, 0.25], size=(60, 3))
+    best = knn.Nearest(metric, q, rng.integers(1, 9, 60), True, digits)
+    ids = rng.permutation(400)
+    for start in range(0, 400, 7):
+        best.offer(ids[start : start + 7], rows[start : start + 7])
+    query, found, values = best.result()
+    exact = knn.scores(metric, rows, q, digits)
+    for j, k in enumerate(best.ks):
+        order = np.lexsort((ids, exact[:, j]))[:k]
+        if digits is not None or metric != "cosine":
+            assert found[query == j].tolist() == ids[order].tolist()
+        assert np.allclose(values[query == j], exact[order, j], atol=1e-9)
+
+
+def test_kmeans_leaves_out_what_has_no_vector(spark, rows):
+    kind = "vec_id long, embedding array<float>"
+    clean = frame(spark, rows)
+    odd = spark.createDataFrame([(1000, None), (1001, [float("nan")] * 32), (1002, [None] * 32)], kind)
+    a, b = (kmeans.fit(f, 4, 5, metric="l2") for f in (clean, clean.unionByName(odd)))
+    assert np.allclose(a.centroids, b.centroids) and b.sizes == a.sizes
+    assert sorted(map(tuple, a.assignments.collect())) == sorted(map(tuple, b.assignments.collect()))
+    means = kmeans.update(spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (None, [5.0, 5.0]), (0, [3.0, 4.0])], "cid int, embedding array<double>")).collect()
+    assert [(r["cid"], r["mean"], r["n"]) for r in means] == [(0, [2.0, 3.0], 2)]
+    with pytest.raises(Exception, match="dimensions"):
+        kmeans.assign(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], kind).coalesce(1), np.zeros((1, 2))).collect()
+
+
+def test_kmeans_spares_do_not_run_out(spark):
+    """Many equal rows: clusters stay empty again and again, and each time take the
+    next row in order, far beyond twice the clusters."""
+    rows = np.zeros((90, 2), np.float32)
+    rows[np.arange(90) % 9 == 0] = 5
+    f = frame(spark, rows)
+    order = [r["vec_id"] for r in kmeans.start_rows(f, 90).orderBy("cid").collect()]
+    model = kmeans.fit(f, 4, 12, 0.0)
+    c, _, a, n = plain_kmeans(rows, rows[order[:4]], "l2", 12, 0.0, order[4:])
+    assert n == model.iterations and np.allclose(model.centroids, c)
+
+
+@pytest.mark.parametrize("name", ["ann_recall"])
+def test_registered_index_search_reaches_the_recall(spark, name):
+    for sf in ("sf0.01", "sf0.1"):
+        found = catalogue.queries()[name](spark, f"/root/testdata/{sf}").collect()
+        assert np.mean([r["recall"] for r in found]) >= 0.9

@@ -102,6 +102,9 @@ def nearest_first(metric: str) -> bool:
 
 # ---- block kernels: rows x queries ----
 
+#: Differences that a kernel holds at once.
+_GAPS = 1 << 20
+
 
 def _block_cosine(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     scale = np.outer(np.linalg.norm(rows, axis=1), np.linalg.norm(queries, axis=1))
@@ -125,7 +128,25 @@ def block(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
         width = chunk_width(rows.shape[1])
         return sum(_block_cosine(rows[:, i : i + width], queries[:, i : i + width]) for i in range(0, rows.shape[1], width))
     out = np.empty((len(rows), len(queries)))
-    for j, q in enumerate(queries):
-        gap = rows - q
-        out[:, j] = np.abs(gap).sum(axis=1) if metric == "manhattan" else np.einsum("ij,ij->i", gap, gap)
+    step = max(1, _GAPS // max(1, rows.size))
+    for j in range(0, len(queries), step):
+        gaps = rows[:, None, :] - queries[None, j : j + step, :]
+        out[:, j : j + step] = np.abs(gaps).sum(axis=2) if metric == "manhattan" else np.einsum("ijk,ijk->ij", gaps, gaps)
+    return np.sqrt(out) if metric == "l2" else out
+
+
+def pairs(metric: str, rows: np.ndarray, queries: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """L2 distances, squared or not, of the rows ``i`` to the queries ``j`` beside them."""
+    out = np.empty(len(i))
+    step = max(1, _GAPS // max(1, rows.shape[1]))
+    for at in range(0, len(i), step):
+        gaps = rows[i[at : at + step]] - queries[j[at : at + step]]
+        out[at : at + step] = np.einsum("ij,ij->i", gaps, gaps)
     return np.sqrt(out) if metric == "l2" else out
+
+
+def l2_bounds(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared L2 distances from products, and by how much each may be off."""
+    a, b = np.einsum("ij,ij->i", rows, rows), np.einsum("ij,ij->i", queries, queries)
+    total = a[:, None] + b
+    return total - 2 * (rows @ queries.T), total * (8 * (rows.shape[1] + 2) * np.finfo(float).eps)

@@ -8,16 +8,18 @@ cluster filter prunes whole directories) and searches them exactly.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import distances
 from vectide.operators import kmeans, knn
 from vectide.operators.topk import top_k_per_group
+from vectide.sources.vectors import matrix
 
 Search = Callable[..., DataFrame]
 
@@ -35,9 +37,7 @@ def default_clusters(n: int) -> int:
 def from_assignments(vectors: DataFrame, cid_col: str, vector_col: str = "embedding") -> Index:
     """Index of vectors whose clusters are known; centroids are the means."""
     own = vectors.withColumn("cid", F.col(cid_col).cast("int"))
-    means = kmeans.update(own, vector_col)
-    ordered = means.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("x"))
-    return Index(own, ordered.select("cid", F.transform("x", lambda e: e["value"]).alias("centroid")))
+    return Index(own, kmeans.update(own, vector_col).select("cid", F.col("mean").alias("centroid")))
 
 
 def build(vectors: DataFrame, clusters: int | None = None, fit: Callable[..., kmeans.KMeans] = kmeans.fit, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> Index:
@@ -73,18 +73,51 @@ def search_one(index: Index, query, k: int, probes: int, metric: str = "l2", dig
     return search(some, one, metric, k, digits=digits, id_col=id_col, vector_col=vector_col).drop("qid")
 
 
-def search_batch(index: Index, queries: DataFrame, k: int, probes: int, metric: str = "l2", digits: int | None = None, dimensions: int | None = None, most_queries: int = 10_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search_batch(index: Index, queries: DataFrame, k: int, probes: int, metric: str = "l2", digits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_bytes: int = 64 << 20) -> DataFrame:
     """``(qid, rank, id, dist)`` for a table of queries, each against the clusters
-    it probes: a join by cluster. Up to ``most_queries`` queries, by count, their
-    side is broadcast; beyond, both sides are shuffled, and adaptive execution
-    splits large clusters."""
-    small = queries.limit(most_queries + 1).count() <= most_queries
-    probed = probe(index, queries, probes, metric, digits).select("qid", "cid").join(queries.select("qid", "q"), "qid")
-    pairs = index.vectors.select("cid", id_col, vector_col).join(F.broadcast(probed) if small else probed, "cid")
-    dist = distances.column(metric, F.col(vector_col), F.col("q"), dimensions)
-    found = pairs.select("qid", id_col, (dist if digits is None else F.round(dist, digits) + 0.0).alias("dist"))
-    order = "asc" if distances.nearest_first(metric) else "desc"
-    return top_k_per_group(found, "qid", "dist", id_col, k, order).select("qid", "rank", id_col, "dist")
+    it probes.
+
+    Queries and the clusters they probe are sent in blocks of at most ``query_bytes``,
+    by count, dimensions and probes; a larger set makes further passes over the
+    probed clusters. A task scores each cluster's rows against the queries that
+    probe it and keeps k rows a query, so no vector is shuffled and a large
+    cluster may lie in any number of tasks.
+    """
+    ascending = distances.nearest_first(metric)
+    spark = index.vectors.sparkSession
+    probed = probe(index, queries, probes, metric, digits).groupBy("qid").agg(F.collect_list("cid").alias("cids"))
+    plain = queries.select(F.col("qid").cast("long"), F.col("q").cast("array<double>")).join(probed, "qid").withColumn("k", F.lit(k))
+    columns = f"qid long, `{id_col}` long, dist double, k int"
+    out = None
+    for block in knn._query_blocks(plain.select("qid", "q", "k", "cids"), query_bytes, 4 * probes):
+        cids = block[3]
+        owner = np.repeat(np.arange(len(cids)), [len(c) for c in cids])
+        cids = np.concatenate([np.asarray(c, np.int64) for c in cids]) if len(cids) else np.zeros(0, np.int64)
+        probing = {int(c): owner[cids == c] for c in np.unique(cids)}
+        shared = spark.sparkContext.broadcast((*block[:3], probing))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, points, ks, probing = shared.value
+            best = knn.Nearest(metric, points, ks, ascending, digits)
+            for batch in batches:
+                held, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                rows = matrix(batch.column(2))
+                for c in np.unique(held):
+                    asking = probing[int(c)]
+                    mine = np.flatnonzero(held == c)
+                    step = max(1, knn.ROW_BYTES // (8 * max(points.shape[1], len(asking))))
+                    for start in range(0, len(mine), step):
+                        some = mine[start : start + step]
+                        best.offer(ids[some], rows[some], asking)
+            yield from best.batches(qids, id_col)
+
+        rows = knn._with_vectors(index.vectors, id_col, vector_col, "cid").where(F.col("cid").isin(list(probing)))
+        part = rows.select("cid", id_col, vector_col).mapInArrow(run, columns)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], columns)
+    ranked = top_k_per_group(out, "qid", "dist", id_col, k, "asc" if ascending else "desc")
+    return ranked.select("qid", "rank", id_col, "dist")
 
 
 def recall(exact: DataFrame, approximate: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

@@ -1,13 +1,17 @@
 """Lloyd's K-means over a table of vectors.
 
-An iteration is one job: tasks assign their rows and return partial sums per
-cluster, which are summed by (cluster, position); K x D numbers reach the
-driver, which ships the new centroids. The start is deterministic: the rows with
-the smallest MD5 of their id. A cluster that gets no row takes the next row in
-that order. The loop stops before replacing the centroids once no centroid moves
-more than ``tol`` (L2, for either metric), so the assignments returned always
-belong to centroids that were used; when iterations run out, the centroids are
-one update newer than the assignments.
+An iteration is one job: tasks assign their rows and return one partial sum per
+cluster; these are summed as arrays, by cluster and a bounded number of parts of
+the tasks, then by cluster, so that K means, one row each, reach the driver. It
+ships the new centroids. The start is deterministic: the rows with the smallest
+MD5 of their id. A cluster that gets no row takes the next row in that order, as
+long as there is one. The loop stops before replacing the centroids once no
+centroid moves more than ``tol`` (L2, for either metric), so the assignments
+returned always belong to centroids that were used; when iterations run out, the
+centroids are one update newer than the assignments.
+
+Defined results: rows without a vector, or with a NaN or null element, belong to
+no cluster and are left out everywhere; vectors of different lengths are an error.
 """
 
 from __future__ import annotations
@@ -17,13 +21,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.sources.vectors import matrix
+from vectide.sources.vectors import list_array, matrix
 
 METRICS = ("l2", "cosine")
+#: Parts in which a cluster's partial sums are first added.
+PARTS = 256
+
+
+def clusterable(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """The rows with a vector of numbers."""
+    numbers = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v))
+    return vectors.where(F.col(vector_col).isNotNull() & numbers)
 
 
 def start_rows(vectors: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -53,12 +67,12 @@ def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2", id_col
             found = nearest_centroid(matrix(batch.column(1)), shared.value, metric) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=[id_col, "cid"])
 
-    some = vectors.select(id_col, vector_col)
+    some = clusterable(vectors, vector_col).select(id_col, vector_col)
     return some.mapInArrow(run, some.select(id_col).schema.add("cid", T.IntegerType()))
 
 
 def update(assigned: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """``(cid, pos, value, n)``: the mean vector and size of each cluster of
+    """``(cid, mean, n)``: the mean vector and size of each cluster of
     ``assigned(cid, embedding)``, from per-task partial sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,18 +80,32 @@ def update(assigned: DataFrame, vector_col: str = "embedding") -> DataFrame:
         counts: dict[int, int] = {}
         for batch in batches:
             cids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
-            for c in np.unique(cids):
-                mine = rows[cids == c]
-                sums[c] = sums.get(c, 0) + mine.sum(axis=0)
-                counts[c] = counts.get(c, 0) + len(mine)
+            order = np.argsort(cids, kind="stable")
+            own, first, sizes = np.unique(cids[order], return_index=True, return_counts=True)
+            for c, n, total in zip(own.tolist(), sizes.tolist(), np.add.reduceat(rows[order], first) if len(own) else []):
+                sums[c] = sums[c] + total if c in sums else total
+                counts[c] = counts.get(c, 0) + n
         if sums:
-            keys = sorted(sums)
-            columns = [pa.array(keys, pa.int32()), pa.array([sums[c].tolist() for c in keys], pa.list_(pa.float64())), pa.array([counts[c] for c in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["cid", "sums", "n"])
+            yield _sums(sums, counts, TaskContext.get().partitionId() % PARTS)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = matrix(table.column("sums").combine_chunks()).sum(axis=0)
+        n = pc.sum(table.column("n")).as_py()
+        return pa.Table.from_batches([_sums({key[0].as_py(): total}, {key[0].as_py(): n}, 0)])
+
+    some = clusterable(assigned, vector_col).where("cid is not null").select(F.col("cid").cast("int"), vector_col)
+    parts = some.mapInArrow(run, _SUMS).groupBy("cid", "part").applyInArrow(add, _SUMS)
+    whole = parts.groupBy("cid").applyInArrow(add, _SUMS)
+    return whole.select("cid", F.transform("sums", lambda v: v / F.col("n")).alias("mean"), "n")
+
+
+_SUMS = "cid int, part int, sums array<double>, n long"
 
-    parts = assigned.select(F.col("cid").cast("int"), vector_col).mapInArrow(run, "cid int, sums array<double>, n long")
-    spread = parts.select("cid", "n", F.posexplode("sums").alias("pos", "s"))
-    return spread.groupBy("cid", "pos").agg((F.sum("s") / F.sum("n")).alias("value"), F.sum("n").alias("n"))
+
+def _sums(sums: dict[int, np.ndarray], counts: dict[int, int], part: int) -> pa.RecordBatch:
+    keys = sorted(sums)
+    columns = [pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), list_array(np.array([sums[c] for c in keys])), pa.array([counts[c] for c in keys], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["cid", "part", "sums", "n"])
 
 
 def repair(assigned_rows: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -95,6 +123,22 @@ def shift(old: np.ndarray, new: np.ndarray) -> float:
     return float(np.sqrt(((old - new) ** 2).sum(axis=1)).max(initial=0.0))
 
 
+class _Order:
+    """The vectors in the order of their ids' MD5, fetched as far as they are asked for."""
+
+    def __init__(self, vectors: DataFrame, id_col: str, vector_col: str):
+        self.vectors, self.id_col, self.vector_col = vectors, id_col, vector_col
+        self.rows: list[list[float]] = []
+        self.ended = False
+
+    def row(self, i: int) -> list[float] | None:
+        while i >= len(self.rows) and not self.ended:
+            asked = max(16, 2 * (i + 1))
+            found = start_rows(self.vectors, asked, self.id_col).orderBy("cid").select(self.vector_col).collect()
+            self.rows, self.ended = [list(r[0]) for r in found], len(found) < asked
+        return self.rows[i] if i < len(self.rows) else None
+
+
 @dataclass
 class KMeans:
     centroids: np.ndarray
@@ -107,23 +151,27 @@ def fit(vectors: DataFrame, k: int, max_iters: int = 100, tol: float = 1e-4, met
     """Clusters of ``vectors``; ``start`` replaces the deterministic first centroids."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
-    spare = start_rows(vectors, 2 * k, id_col).orderBy("cid").collect()
+    vectors = clusterable(vectors, vector_col)
+    order = _Order(vectors, id_col, vector_col)
     if start is None:
-        centroids, spare = np.array([list(r[vector_col]) for r in spare[:k]], float), spare[k:]
+        centroids, used_rows = np.array([order.row(i) for i in range(k) if order.row(i) is not None], float), k
     else:
-        centroids = np.array(start, float)
+        centroids, used_rows = np.array(start, float), 0
     if not len(centroids):
         raise ValueError("no vectors to cluster")
     used, sizes, done = centroids, {}, 0
     for done in range(1, max_iters + 1):
         used = centroids
-        means = update(assigned(vectors, used, metric, vector_col), vector_col).collect()
+        means = update(assigned(vectors, used, metric, vector_col), vector_col).toArrow().combine_chunks()
         new, sizes = np.full_like(used, np.nan), {}
-        for r in means:
-            new[r["cid"], r["pos"]] = r["value"]
-            sizes[r["cid"]] = r["n"]
-        for c in np.flatnonzero(np.isnan(new[:, 0])):
-            new[c] = spare.pop(0)[vector_col] if spare else used[c]
+        if means.num_rows:
+            cids = means.column("cid").to_numpy()
+            new[cids] = matrix(means.column("mean").combine_chunks())
+            sizes = dict(zip(cids.tolist(), means.column("n").to_pylist()))
+        for c in np.flatnonzero(np.isnan(new).any(axis=1)):
+            row = order.row(used_rows)
+            used_rows += 1
+            new[c] = used[c] if row is None else row
         if shift(used, new) <= tol:
             break
         centroids = new
@@ -139,5 +187,5 @@ def assigned(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2", vect
             found = nearest_centroid(matrix(batch.column(0)), shared.value, metric) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column(0)], names=["cid", vector_col])
 
-    some = vectors.select(vector_col)
+    some = clusterable(vectors, vector_col).select(vector_col)
     return some.mapInArrow(run, T.StructType([T.StructField("cid", T.IntegerType()), *some.schema]))

@@ -6,6 +6,10 @@ k rows per query and task, whatever the number of vectors. Queries are sent to
 the executors in blocks of at most ``query_bytes``; a larger query table makes
 further passes. Distances are rounded to ``digits`` (if given) before ranking,
 and ties go to the smaller id; ``k`` beyond the rows gives all rows.
+
+Defined results: rows without an id or a vector are left out; a distance that is
+NaN, from a NaN or null element, ranks after all numbers; a null query vector, a
+query without k, and vectors of different lengths are errors.
 """
 
 from __future__ import annotations
@@ -36,21 +40,90 @@ def scores(metric: str, rows: np.ndarray, queries: np.ndarray, digits: int | Non
     return found if digits is None else np.round(found, digits) + 0.0
 
 
-def _best(values: np.ndarray, ids: np.ndarray, k: int, ascending: bool) -> np.ndarray:
-    """Positions of the k best, by value, then id."""
-    keyed = values if ascending else -values
-    if k < len(values):
-        edge = np.partition(keyed, k - 1)[k - 1]
-        near = np.flatnonzero(keyed <= edge)
-    else:
-        near = np.arange(len(values))
-    return near[np.lexsort((ids[near], keyed[near]))[:k]]
-
-
-def _query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, vectors, k) of the queries, in blocks of bounded size."""
+class Nearest:
+    """The k best rows so far of each of a block of queries.
+
+    Rows are offered in blocks. What can't be among a query's best, by the k-th of
+    those kept or of the block, is dropped by one comparison of matrices; the rest
+    is held and now and then sorted, all queries at once. NaN comes last.
+    """
+
+    def __init__(self, metric: str, points: np.ndarray, ks: np.ndarray, ascending: bool, digits: int | None):
+        self.metric, self.points, self.ks, self.digits = metric, points, ks, digits
+        self.sign = 1.0 if ascending else -1.0
+        self.most = int(ks.max(initial=0))
+        self.bar = np.full(len(ks), np.nan)  # the k-th best, by sign; NaN while there are fewer numbers
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, id, keyed value
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+        self.limit = max(1 << 20, 4 * int(ks.sum()))
+
+    def offer(self, ids: np.ndarray, rows: np.ndarray, some: np.ndarray | None = None) -> None:
+        """Rows for all queries, or for ``some`` of them (positions)."""
+        if self.most < 1 or not len(rows):
+            return
+        points, bar = (self.points, self.bar) if some is None else (self.points[some], self.bar[some])
+        refined = self.metric in ("l2", "l2_squared") and self.sign > 0
+        if refined:
+            values, off = distances.l2_bounds(rows, points)
+            low, high = values - off, values + off
+        else:
+            low = high = self.sign * scores(self.metric, rows, points, self.digits)
+        edge = self._squared(bar) if refined else bar
+        if len(rows) >= self.most and np.isnan(bar).any():
+            best = np.partition(high, self.most - 1, axis=0)[self.most - 1]
+            edge = np.fmin(edge, self._squared(self._unsquared(best)) if refined else best)
+        i, j = np.nonzero((low <= edge) | np.isnan(edge))
+        if refined:
+            kept = distances.pairs(self.metric, rows, points, i, j)
+            kept = kept if self.digits is None else np.round(kept, self.digits) + 0.0
+        else:
+            kept = low[i, j]
+        self.waiting.append((j if some is None else some[j], ids[i], kept))
+        self.size += len(i)
+        if self.size > self.limit or self.size >= self.ks.sum() and np.isnan(self.bar).any():
+            self._trim()
+
+    def _unsquared(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(x, 0)) if self.metric == "l2" else x
+
+    def _squared(self, bar: np.ndarray) -> np.ndarray:
+        """A bound on squares under which lies whatever rounds to the bar or less."""
+        slack = 0.0 if self.digits is None else 10.0**-self.digits
+        bar = (bar + slack) * (1 + 1e-12)
+        return bar * bar if self.metric == "l2" else bar
+
+    def _trim(self) -> None:
+        query, ids, keyed = (np.concatenate([h, *[w[c] for w in self.waiting]]) for c, h in enumerate(self.held))
+        order = np.lexsort((ids, keyed, query))
+        query, ids, keyed = query[order], ids[order], keyed[order]
+        first = np.searchsorted(query, np.arange(len(self.ks)))
+        rank = np.arange(len(query)) - first[query]
+        full = rank == self.ks[query] - 1
+        self.bar[query[full]] = keyed[full]
+        kept = rank < self.ks[query]
+        self.held = [query[kept], ids[kept], keyed[kept]]
+        self.waiting, self.size = [], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position of the query, id, distance) of what is kept."""
+        self._trim()
+        query, ids, keyed = self.held
+        return query, ids, self.sign * keyed + 0.0
+
+    def batches(self, qids: np.ndarray, id_col: str) -> Iterator[pa.RecordBatch]:
+        query, ids, values = self.result()
+        for at in range(0, len(query), 100_000):
+            q = query[at : at + 100_000]
+            columns = [qids[q], ids[at : at + 100_000], values[at : at + 100_000], self.ks[q].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", id_col, "dist", "k"])
+
+
+def _query_blocks(queries: DataFrame, query_bytes: int, more: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, vectors, k, further columns) of the queries, in blocks of bounded size;
+    ``more`` bytes are what the further columns of a query take."""
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
-    count = max(1, -(-size["n"] * (8 * (size["d"] or 0) + 16) // query_bytes))
+    count = max(1, -(-size["n"] * (8 * (size["d"] or 0) + 16 + more) // query_bytes))
     if count > 1:  # several passes read the queries: compute them once
         queries = written(queries, "queries")
     for block in range(count):
@@ -58,7 +131,14 @@ def _query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[tuple[np.nda
         rows = part.orderBy("qid").toArrow()
         if rows.num_rows:
             table = rows.combine_chunks().to_batches()[0]
-            yield table.column(0).to_numpy(), matrix(table.column(1)), table.column(2).to_numpy()
+            if table.column(2).null_count:
+                raise ValueError("a query needs k")
+            yield table.column(0).to_numpy(), matrix(table.column(1)), table.column(2).to_numpy(), *(c.to_pylist() for c in table.columns[3:])
+
+
+def _with_vectors(vectors: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
+    held = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+    return held.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col), *others)
 
 
 def search(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int | None = None, order: str | None = None, digits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_bytes: int = 64 << 20) -> DataFrame:
@@ -68,31 +148,20 @@ def search(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int |
     own_k = F.coalesce(F.col("k"), F.lit(k)) if "k" in queries.columns else F.lit(k)
     plain = queries.select(F.col("qid").cast("long"), F.col("q").cast("array<double>"), own_k.cast("int").alias("k"))
     spark = vectors.sparkSession
-    base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col))
+    base = _with_vectors(vectors, id_col, vector_col)
     out = None
     for block in _query_blocks(plain, query_bytes):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, points, ks = shared.value
-            held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qids]
+            best = Nearest(metric, points, ks, ascending, digits)
             step = max(1, ROW_BYTES // (8 * max(points.shape[1], len(qids))))
             for batch in batches:
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
-                    ids = part.column(0).to_numpy()
-                    found = scores(metric, matrix(part.column(1)), points, digits)
-                    for j, k in enumerate(ks):
-                        best = _best(found[:, j], ids, k, ascending)
-                        held[j].append((ids[best], found[best, j]))
-                        if len(held[j]) > 8:
-                            held[j] = [_kept(held[j], k, ascending)]
-            rows = [(qids[j], *_kept(parts, ks[j], ascending), ks[j]) for j, parts in enumerate(held) if parts]
-            for j in range(0, len(rows), 1000):
-                some = rows[j : j + 1000]
-                sizes = [len(r[1]) for r in some]
-                columns = [np.repeat([r[0] for r in some], sizes), np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some]), np.repeat([r[3] for r in some], sizes).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", id_col, "dist", "k"])
+                    best.offer(part.column(0).to_numpy(), matrix(part.column(1)))
+            yield from best.batches(qids, id_col)
 
         part = base.mapInArrow(run, f"qid long, `{id_col}` long, dist double, k int")
         out = part if out is None else out.unionByName(part)
@@ -102,12 +171,6 @@ def search(vectors: DataFrame, queries: DataFrame, metric: str = "l2", k: int |
     return ranked.select("qid", "rank", id_col, "dist")
 
 
-def _kept(parts: list[tuple[np.ndarray, np.ndarray]], k: int, ascending: bool) -> tuple[np.ndarray, np.ndarray]:
-    ids, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    best = _best(values, ids, k, ascending)
-    return ids[best], values[best]
-
-
 def nearest(vectors: DataFrame, query, k: int, metric: str = "l2", order: str | None = None, digits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(rank, id, dist)`` for one query vector."""
     one = vectors.sparkSession.createDataFrame([(0, [float(v) for v in query])], "qid long, q array<double>")
@@ -120,7 +183,7 @@ def distances_to(vectors: DataFrame, queries: DataFrame, metric: str, id_col: st
     distances.nearest_first(metric)
     plain = queries.select(F.col("qid").cast("long"), F.col("q").cast("array<double>"), F.lit(0).alias("k"))
     spark = vectors.sparkSession
-    base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col))
+    base = _with_vectors(vectors, id_col, vector_col)
     schema = f"qid long, `{id_col}` long, dist double"
     out = None
     for block in _query_blocks(plain, query_bytes):

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +91,18 @@ def list_array(rows: np.ndarray) -> pa.Array:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """An Arrow list column without nulls as a matrix of doubles."""
+    """An Arrow list column as a matrix of doubles. A null element is NaN; a null
+    vector, or vectors of different lengths, are an error."""
+    if not len(column):
+        return np.zeros((0, 0))
+    if column.null_count:
+        raise ValueError("a vector is null")
+    sizes = pc.list_value_length(column)
+    least, most = pc.min(sizes).as_py(), pc.max(sizes).as_py()
+    if least != most:
+        raise ValueError(f"vectors of {least} and of {most} dimensions")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return values.reshape(len(column), most)
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
