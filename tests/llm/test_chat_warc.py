@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import time
+import zlib
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,7 +83,7 @@ def test_derivatives(spark):
         assert r["content_length"] == len(r["block"].encode())
     by = {(r["page_id"], r["warc_type"]): r["block"] for r in got}
     assert by[1, "conversion"] == "One <x>\nTwo\nthree é\nlink"
-    assert "title: A &amp; b\r\n" in by[1, "metadata"] and "outlink: http://l.example/1\r\n" in by[1, "metadata"]
+    assert "title: A & b\r\n" in by[1, "metadata"] and "outlink: http://l.example/1\r\n" in by[1, "metadata"]
     assert "http-header: Content-Type: text/html; charset=utf-8\r\n" in by[1, "metadata"] and f"payload-length: {len(HTML.encode())}\r\n" in by[1, "metadata"]
     assert by[2, "conversion"] == "" and by[4, "conversion"] == ("plain text " * 50_000).strip()
     assert warc.derive(warc.responses(spark.createDataFrame([], PAGES))).count() == 0
@@ -116,3 +118,66 @@ def test_references_and_links_of_every_form(spark):
     assert by["conversion"].startswith("It’s été …— A&lt;B C &unknown; AT&T\n")
     found = [line[9:] for line in by["metadata"].split("\r\n") if line.startswith("outlink: ")]
     assert found == ["/one", "/two", "/three?a=1&b=é", "/four"]
+
+
+def test_odd_pages_take_linear_time():
+    began = time.perf_counter()
+    for odd in ("<!-- ", "<title>", "<a ", "<script>", "<script></script ", "<a href='", '<p x=">"', "<", "<a href=\"x\"", "<head><script>", "&amp", "<p a"):
+        warc.read_page(odd * (1_000_000 // len(odd)), "http://x.example/")
+    assert time.perf_counter() - began < 60
+
+
+def test_links_are_resolved():
+    page = "<a href=a/b>1</a><a href='?q=1'>2</a><a href='//o.example/x'>3</a><a href='../up'>4</a><a href='#f'>5</a><a href='MAILTO:x@y'>6</a><a href='/r'>7</a><a href=' /s '>8</a><a href='http://[bad'>9</a>"
+    title, text, links = warc.read_page("<title>A &amp; B</title>" + page, "https://h.example/d/e?z#y")
+    assert (title, text) == ("A & B", "123456789")
+    assert links == ["https://h.example/d/a/b", "https://h.example/d/e?q=1", "https://o.example/x", "https://h.example/up", "https://h.example/d/e?z#f", "MAILTO:x@y", "https://h.example/r", "https://h.example/s", "http://[bad"]
+    assert warc.read_page('<base href="/root/"><base href="/no/">' + page, "https://h.example/d/e")[2][0] == "https://h.example/root/a/b"
+    assert warc.read_page(page, "not absolute")[2][0] == "a/b"
+
+
+def record(kind, payload, head=b"HTTP/1.1 200 OK\r\nContent-Type: text/html", more=b"", size=None):
+    block = head + b"\r\n\r\n" + payload
+    return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:%d>\r\nWARC-Target-URI: http://x/\r\nWARC-Date: d\r\n%sContent-Length: %s\r\n\r\n%s\r\n\r\n" % (kind, len(payload), more, size or b"%d" % len(block), block)
+
+
+def test_damaged_files_and_source_digests(spark, tmp_path):
+    good = record(b"response", b"<p>one</p>", more=b"WARC-Payload-Digest: sha1:ABC\r\nX-Folded: a\r\n b\r\n")
+    (tmp_path / "a.warc").write_bytes(good + record(b"response", b"two", size=b"many") + record(b"response", b"three") + good[:-30])
+    whole = gzip.compress(good) + gzip.compress(record(b"response", b"<p>four</p>"))
+    (tmp_path / "b.warc.gz").write_bytes(whole[:-25])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(good)[:-12] + b"rubbish")
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc").write_bytes(b"\x00" * 5000)
+    got = warc.read_responses(spark, str(tmp_path / "*")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["file"].rsplit("/", 1)[1], []).append(r)
+    assert [r["payload"] for r in by["a.warc"]] == ["<p>one</p>", "three"] and [r["payload"] for r in by["b.warc.gz"]] == ["<p>one</p>"]
+    assert not {"d.warc", "e.warc"} & by.keys()
+    one, three = by["a.warc"]
+    assert one["payload_digest"] == "sha1:ABC" and three["payload_digest"] == "sha256:" + hashlib.sha256(b"three").hexdigest()
+    made = warc.derive(spark.createDataFrame([one], warc.read_responses(spark, str(tmp_path / "*")).schema), keep=("file",)).collect()
+    assert {r["source_digest"] for r in made} == {"sha1:ABC"}
+    block = next(r["block"] for r in made if r["warc_type"] == "metadata")
+    assert "warc-header: warc-payload-digest: sha1:ABC\r\n" in block and "warc-header: x-folded: a b\r\n" in block and "payload-digest: sha1:ABC\r\n" in block
+
+
+def test_bodies_are_decoded_and_digested_as_bytes(spark, tmp_path):
+    body = "<p>caf\u00e9</p>"
+    latin = body.encode("latin-1")
+    chunked = b"5\r\n" + latin[:5] + b"\r\n%x;x=1\r\n" % len(latin[5:]) + latin[5:] + b"\r\n0\r\n\r\n"
+    heads = {
+        "latin": (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1", latin),
+        "meta": (b"HTTP/1.1 200 OK", b'<meta charset="latin1">' + latin),
+        "gzip": (b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip", gzip.compress(body.encode())),
+        "deflate": (b"HTTP/1.1 200 OK\r\nContent-Encoding: deflate", zlib.compress(body.encode())[2:-4]),
+        "chunked": (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Type: text/html; charset=latin1", chunked),
+        "lies": (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nContent-Type: x; charset=nonsense", body.encode()),
+    }
+    for name, (head, payload) in heads.items():
+        (tmp_path / f"{name}.warc").write_bytes(record(b"response", payload, head))
+    for r in warc.read_responses(spark, str(tmp_path / "*")).collect():
+        head, payload = heads[r["file"].rsplit("/", 1)[1][:-5]]
+        assert r["payload"].endswith(body), r["file"]
+        assert r["payload_digest"] == "sha256:" + hashlib.sha256(payload).hexdigest() and r["http_headers"] == head.decode()

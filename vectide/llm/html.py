@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -78,11 +78,11 @@ ADJACENT, SIBLING = 1.2, 0.6
 FAR = 60
 
 
-def attributes_of(tag: str) -> dict[str, str]:
+def attributes_of(tag: str, decode: Callable[[str], str] = unescape) -> dict[str, str]:
     """The attributes in the text of a tag; the first of a name counts."""
     found: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(tag):
-        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in "\"'" else value) if value else "")
+        found.setdefault(name.lower(), decode(value[1:-1] if value[0] in "\"'" else value) if value else "")
     return found
 
 
