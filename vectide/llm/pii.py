@@ -10,10 +10,14 @@ the next of its kind, so edges are linear in candidates. Loopy message passing
 over the whole document gives beliefs; a candidate that is more likely than not
 an entity adds a span.
 
-Potentials are trained: label counts by shape, and the agreement of linked base
-spans, from a bounded sample of documents (``sample_docs``, those with the
-smallest text hashes). Shapes never seen, and evidence that no base pattern can
-label, have the fixed values below. All documents are scanned whole.
+Potentials are fitted to counts over all documents, a table of a few hundred
+rows at any scale. Number shapes: how often the base patterns take each. Values
+after a secret's name: a class of value (a word, digits, mixed, long) is a secret
+in as far as it is more frequent there than after other names and words, where
+prose is what follows both. Chain and skip weights: the greatest pseudo-likelihood
+of the base labels of linked spans, each seen by its number of digits alone, with
+a normal prior; either sign may come out. Evidence that nothing in the corpus can
+label has the fixed values below, as have shapes never seen.
 
 Defined results: null is the empty text and has no spans; repeated rows are
 treated alike; offsets are code points; overlapping spans of different kinds
@@ -55,21 +59,27 @@ _DIGIT = re.compile(r"[0-9]")
 # the base patterns can't teach it.
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,18}(?![0-9A-Za-z])")
 _WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]{1,63})+")
+_ASSIGNED = re.compile(r"(?<![\w])(\w{1,40})[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})", re.I)
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{5,}+(?!@)")
 _KEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _HEX = re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
 PRIOR = {
-    "named": ("secret", 0.95),
+    "named word": ("secret", 0.02),
+    "named digits": ("secret", 0.30),
+    "named mixed": ("secret", 0.80),
+    "named long": ("secret", 0.95),
     "key": ("secret", 0.98),
     "hex": ("secret", 0.20),
     "written": ("email", 0.90),
     "handle": ("email", 0.10),
     "number": ("phone", 0.01),
 }
+#: What the fixed values count against the corpus, in occurrences; the means of the
+#: weights' normal priors (the same form is mostly the same thing) and their spread.
+SMOOTHING = 20.0
+MEAN, SPREAD = {"chain": 0.0, "skip": 5.0}, 3.0
 CHAIN_REACH = 80
-#: Prior count of same-form pairs that agree, against one that doesn't.
-SKIP_AGREES = 400
 _NEVER = -30.0
 
 
@@ -148,7 +158,19 @@ def _loose(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _value_class(value: str) -> str:
+    """Class of a value after a name: what prose has there is a word."""
+    letters, digits = sum(map(str.isalpha, value)), sum("0" <= c <= "9" for c in value)
+    if not digits and letters >= len(value) - 2:
+        return "word"
+    if not letters:
+        return "digits"
+    return "long" if len(value) >= 16 else "mixed"
+
+
 def _shape(text: str, source: str) -> str:
+    if source == "named":
+        return f"named {_value_class(text)}"
     if source != "number":
         return source
     d = _digits(text)
@@ -168,16 +190,16 @@ def _form(text: str, kind: str) -> str:
 
 
 class Field:
-    """Trained potentials."""
+    """Fitted potentials."""
 
     def __init__(self) -> None:
         self.node: dict[str, np.ndarray] = {}
-        self.chain, self.skip = 0.1, math.log(SKIP_AGREES)
+        self.chain, self.skip = MEAN["chain"], MEAN["skip"]
 
     def node_potential(self, shape: str, source: str) -> np.ndarray:
         if shape in self.node:
             return self.node[shape]
-        return np.log(_prior(source))
+        return np.log(_prior(shape if source == "named" else source))
 
 
 def _prior(source: str) -> np.ndarray:
@@ -202,31 +224,99 @@ def _graph(text: str, base: list[Span], loose: list[tuple[int, int, str]]) -> tu
     return nodes, chain, skip
 
 
-def train(sample: list[str], smoothing: float = 20.0) -> Field:
-    """Potentials of a sample of texts, with the base patterns as labels."""
+def statistics(text: str) -> Counter:
+    """What a document counts towards the potentials, by key:
+    ``node|shape|label``, ``digits|number|label``, ``edge|type|number|label|other's``
+    (number: of digits) and ``value|class|whether a secret's name comes first``."""
+    out: Counter[str] = Counter()
+    base = base_spans(text)
+    nodes, chain, skip = _graph(text, base, _loose(text, base))
+    numbers: dict[int, int] = {}
+    for i, (a, b, kind, observed) in enumerate(nodes):
+        if kind in ("phone", "card", "number"):
+            label = kind if observed else "none"
+            numbers[i] = len(_digits(text[a:b]))
+            out[f"node|{_shape(text[a:b], 'number')}|{label}"] += 1
+            out[f"digits|{numbers[i]}|{label}"] += 1
+    for name, edges in (("chain", chain), ("skip", skip)):
+        for i, j in edges:
+            if nodes[i][3] and nodes[j][3]:
+                for x, y in ((i, j), (j, i)):
+                    if x in numbers:
+                        out[f"edge|{name}|{numbers[x]}|{nodes[x][2]}|{nodes[y][2]}"] += 1
+    if "=" in text or ":" in text:
+        named = {m.start(1) for m in _NAMED.finditer(text)}
+        for m in _ASSIGNED.finditer(text):
+            out[f"value|{_value_class(m[2])}|{int(m.start(2) in named)}"] += 1
+    return out
+
+
+def _log_likelihood(weight: float, mean: float, edges: list[tuple[np.ndarray, int, int, float]]) -> float:
+    """Of the labels at one end given the other's, with a normal prior."""
+    total = -(((weight - mean) / SPREAD) ** 2) / 2
+    for chance, label, other, n in edges:
+        bonus = np.ones(len(chance))
+        bonus[other] = math.exp(weight)
+        total += n * math.log(chance[label] * bonus[label] / (chance @ bonus))
+    return total
+
+
+def _fitted_weight(mean: float, edges: list[tuple[np.ndarray, int, int, float]]) -> float:
+    """The weight of greatest likelihood, a concave function, by golden sections."""
+    low, high = -30.0, 30.0
+    ratio = (math.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        if _log_likelihood(a, mean, edges) < _log_likelihood(b, mean, edges):
+            low = a
+        else:
+            high = b
+    return (low + high) / 2
+
+
+def fitted(counts: dict[str, int]) -> Field:
+    """Potentials from the counts of ``statistics``, summed over all documents."""
     field = Field()
-    counts: dict[str, Counter] = defaultdict(Counter)
-    agree = {"chain": [1, 1], "skip": [SKIP_AGREES, 1]}
-    for text in sample:
-        base = base_spans(text)
-        loose = _loose(text, base)
-        nodes, chain, skip = _graph(text, base, loose)
-        for a, b, kind, observed in nodes:
-            if kind in ("phone", "card") or kind == "number":
-                counts[_shape(text[a:b], "number")][kind if observed else "none"] += 1
-        for name, edges in (("chain", chain), ("skip", skip)):
-            for i, j in edges:
-                if nodes[i][3] and nodes[j][3]:
-                    agree[name][nodes[i][2] != nodes[j][2]] += 1
-    for shape, seen in counts.items():
-        p = smoothing * _prior("number") + np.array([seen[x] for x in LABELS])
+    by: dict[str, dict[str, np.ndarray]] = {"node": {}, "digits": {}}
+    values = {"0": Counter(), "1": Counter()}
+    edges: dict[str, list] = {"chain": [], "skip": []}
+    for key, n in sorted(counts.items()):
+        kind, *rest = key.split("|")
+        if kind in by:
+            by[kind].setdefault(rest[0], SMOOTHING * _prior("number"))[LABELS.index(rest[1])] += n
+        elif kind == "value":
+            values[rest[1]][rest[0]] += n
+        else:
+            edges[rest[0]].append((rest[1], LABELS.index(rest[2]), LABELS.index(rest[3]), n))
+    for shape, p in by["node"].items():
+        field.node[shape] = np.log(p / p.sum())
+    chances = {digits: p / p.sum() for digits, p in by["digits"].items()}
+    field.chain, field.skip = (_fitted_weight(MEAN[name], [(chances[d], y, other, n) for d, y, other, n in edges[name]]) for name in ("chain", "skip"))
+    # Of the values after secrets' names, the share that is prose: what words say.
+    there, elsewhere = sum(values["1"].values()), sum(values["0"].values())
+    rate = lambda c: (values["1"][c] / there, values["0"][c] / elsewhere if elsewhere else 0.0)
+    prose = min(1.0, rate("word")[0] / rate("word")[1]) if there and values["0"]["word"] else 0.0
+    for c in values["1"]:
+        named, other = rate(c)
+        shape = f"named {c}"
+        chance = 0.0 if c == "word" and prose else max(0.0, 1 - prose * other / named)
+        if c == "word" and not prose:
+            chance = PRIOR[shape][1]
+        p = SMOOTHING * _prior(shape)
+        p[LABELS.index("secret")] += chance * values["1"][c]
+        p[0] += (1 - chance) * values["1"][c]
         field.node[shape] = np.log(p / p.sum())
-    odds = {k: math.log(same / other) for k, (same, other) in agree.items()}
-    field.chain = min(0.5, max(0.0, odds["chain"]))
-    field.skip = min(8.0, max(3.0, odds["skip"]))  # bounded for message passing
     return field
 
 
+def train(sample: list[str]) -> Field:
+    """Potentials of a list of texts."""
+    total: Counter[str] = Counter()
+    for text in sample:
+        total.update(statistics(text))
+    return fitted(total)
+
+
 def beliefs(potentials: np.ndarray, edges: list[tuple[int, int, float]], rounds: int = 30, damping: float = 0.3) -> np.ndarray:
     """Marginals by loopy sum-product; an edge adds its weight where both ends
     have the same label other than none. Exact on trees, given enough rounds."""
@@ -296,15 +386,20 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 1000) -> Field:
-    """Field of the ``sample_docs`` distinct texts with the smallest hashes among
-    those with a digit or an at sign."""
-    some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    least = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
-    if not least:
-        return train([])
-    rows = some.where(F.col("h") <= least[-1]).dropDuplicates(["h"]).collect()
-    return train([r["t"] for r in sorted(rows, key=lambda r: r["h"])])
+def fit(docs: DataFrame, text_col: str = "text") -> Field:
+    """Field of all documents. Tasks count and the counts are summed; the keys are
+    bounded by the patterns, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                total.update(statistics(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["key", "n"])
+
+    some = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[0-9@:=]"))
+    found = some.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return fitted({r["key"]: r["n"] for r in found.collect()})
 
 
 def scan(docs: DataFrame, field: Field, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
