@@ -236,7 +236,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """The rows of ``docs`` with one document of each group: that with the
     smallest id (then row hash; of rows alike in every column, one). All columns stay."""
     rows, tag = tagged(docs)
-    return least_of_each(docs, rows, tag, near_duplicates(rows, id_col, text_col, distance, keep=(tag,)), id_col)
+    found = near_duplicates(rows, id_col, text_col, distance, keep=(tag,))
+    return least_of_each(docs, rows, tag, found.select("id", tag, F.col("root").alias("by")), id_col)
 
 
 def tagged(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -247,11 +248,16 @@ def tagged(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(tag, F.xxhash64(*[x for c in own for x in (c.cast("string"), c.isNull())])), tag
 
 
-def least_of_each(docs: DataFrame, rows: DataFrame, tag: str, found: DataFrame, id_col: str) -> DataFrame:
-    """``docs``, tagged as ``rows``, less all but the least of each root of
-    ``found(id, <tag>, root)``."""
-    chosen = found.select("root", F.struct(F.col("id").isNull().alias("u"), "id", F.col(tag).alias("row")).alias("x"))
-    chosen = chosen.groupBy("root", "x").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("x", "n")).alias("y"))
+def least_of_each(docs: DataFrame, rows: DataFrame, tag: str, found: DataFrame, id_col: str, roots: DataFrame | None = None) -> DataFrame:
+    """``docs``, tagged as ``rows``, less all but the least of each group of
+    ``found(id, <tag>, by)``; groups of one root in ``roots(node, root)`` are one.
+
+    The least of a group is taken before roots are joined, so that a group with a
+    third of all rows is one row by then."""
+    one = found.select("by", F.struct(F.col("id").isNull().alias("u"), "id", F.col(tag).alias("row")).alias("x"))
+    chosen = one.groupBy("by", "x").agg(F.count("*").alias("n")).groupBy("by").agg(F.min(F.struct("x", "n")).alias("y"))
+    if roots is not None:
+        chosen = chosen.join(roots, F.col("by") == F.col("node"), "left").groupBy(F.coalesce("root", "by").alias("by")).agg(F.min("y").alias("y"))
     names = [fresh(c, rows) for c in ("__id", "__r", "__n")]
     chosen = written(chosen.select(F.col("y.x.id").alias(names[0]), F.col("y.x.row").alias(names[1]), F.col("y.n").alias(names[2])), "kept")
     match = (F.col(tag) == F.col(names[1])) & F.col(f"`{id_col}`").eqNullSafe(F.col(names[0]))
