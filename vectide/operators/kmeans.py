@@ -1,9 +1,9 @@
 """Lloyd's K-means over a table of vectors.
 
-An iteration is one job: tasks assign their rows and return one partial sum per
-cluster; these are summed as arrays, by cluster and a bounded number of parts of
-the tasks, then by cluster, so that K means, one row each, reach the driver. It
-ships the new centroids. The start is deterministic: the rows with the smallest
+An iteration is one job with one shuffle: tasks assign their rows and return one
+partial sum, an array, for each cluster they have; a cluster's are added in the task
+they meet in, and K means, one row each, reach the driver. It ships the new
+centroids. The start is deterministic: the rows with the smallest
 MD5 of their id. A cluster that gets no row takes the next row in that order, as
 long as there is one. The loop stops before replacing the centroids once no
 centroid moves more than ``tol`` (L2, for either metric), so the assignments
@@ -21,8 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +28,6 @@ from pyspark.sql import types as T
 from vectide.sources.vectors import list_array, matrix
 
 METRICS = ("l2", "cosine")
-#: Parts in which a cluster's partial sums are first added.
-PARTS = 256
 
 
 def clusterable(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -76,36 +72,55 @@ def update(assigned: DataFrame, vector_col: str = "embedding") -> DataFrame:
     ``assigned(cid, embedding)``, from per-task partial sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        counts: dict[int, int] = {}
+        total = _Sums()
         for batch in batches:
-            cids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
-            order = np.argsort(cids, kind="stable")
-            own, first, sizes = np.unique(cids[order], return_index=True, return_counts=True)
-            for c, n, total in zip(own.tolist(), sizes.tolist(), np.add.reduceat(rows[order], first) if len(own) else []):
-                sums[c] = sums[c] + total if c in sums else total
-                counts[c] = counts.get(c, 0) + n
-        if sums:
-            yield _sums(sums, counts, TaskContext.get().partitionId() % PARTS)
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = matrix(table.column("sums").combine_chunks()).sum(axis=0)
-        n = pc.sum(table.column("n")).as_py()
-        return pa.Table.from_batches([_sums({key[0].as_py(): total}, {key[0].as_py(): n}, 0)])
+            total.add(batch.column(0).to_numpy(), matrix(batch.column(1)))
+        yield from total.batches()
 
     some = clusterable(assigned, vector_col).where("cid is not null").select(F.col("cid").cast("int"), vector_col)
-    parts = some.mapInArrow(run, _SUMS).groupBy("cid", "part").applyInArrow(add, _SUMS)
-    whole = parts.groupBy("cid").applyInArrow(add, _SUMS)
-    return whole.select("cid", F.transform("sums", lambda v: v / F.col("n")).alias("mean"), "n")
+    return _means(some.mapInArrow(run, _SUMS))
+
+
+_SUMS = "cid int, sums array<double>, n long"
+
+
+class _Sums:
+    """Sums and sizes of clusters."""
 
+    def __init__(self) -> None:
+        self.sums: dict[int, np.ndarray] = {}
+        self.counts: dict[int, int] = {}
 
-_SUMS = "cid int, part int, sums array<double>, n long"
+    def add(self, cids: np.ndarray, rows: np.ndarray, sizes: np.ndarray | None = None) -> None:
+        """Rows of clusters; ``sizes`` if each is the sum of so many."""
+        if not len(cids):
+            return
+        order = np.argsort(cids, kind="stable")
+        own, first = np.unique(cids[order], return_index=True)
+        counts = np.add.reduceat(np.ones(len(cids), np.int64) if sizes is None else sizes[order], first)
+        for c, n, total in zip(own.tolist(), counts.tolist(), np.add.reduceat(rows[order], first)):
+            self.sums[c] = self.sums[c] + total if c in self.sums else total
+            self.counts[c] = self.counts.get(c, 0) + n
 
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if keys := sorted(self.sums):
+            columns = [pa.array(keys, pa.int32()), list_array(np.array([self.sums[c] for c in keys])), pa.array([self.counts[c] for c in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "sums", "n"])
+
+
+def _means(parts: DataFrame) -> DataFrame:
+    """Partial sums to means: a cluster's meet in one task, which adds them as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Sums()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                some = batch.slice(start, 1000)
+                total.add(some.column(0).to_numpy(), matrix(some.column(1)), some.column(2).to_numpy())
+        yield from total.batches()
 
-def _sums(sums: dict[int, np.ndarray], counts: dict[int, int], part: int) -> pa.RecordBatch:
-    keys = sorted(sums)
-    columns = [pa.array(keys, pa.int32()), pa.array([part] * len(keys), pa.int32()), list_array(np.array([sums[c] for c in keys])), pa.array([counts[c] for c in keys], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["cid", "part", "sums", "n"])
+    whole = parts.repartition("cid").mapInArrow(run, _SUMS)
+    return whole.select("cid", F.transform("sums", lambda v: v / F.col("n")).alias("mean"), "n")
 
 
 def repair(assigned_rows: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
@@ -162,7 +177,7 @@ def fit(vectors: DataFrame, k: int, max_iters: int = 100, tol: float = 1e-4, met
     used, sizes, done = centroids, {}, 0
     for done in range(1, max_iters + 1):
         used = centroids
-        means = update(assigned(vectors, used, metric, vector_col), vector_col).toArrow().combine_chunks()
+        means = _means(_assigned_sums(vectors, used, metric, vector_col)).toArrow().combine_chunks()
         new, sizes = np.full_like(used, np.nan), {}
         if means.num_rows:
             cids = means.column("cid").to_numpy()
@@ -178,6 +193,21 @@ def fit(vectors: DataFrame, k: int, max_iters: int = 100, tol: float = 1e-4, met
     return KMeans(centroids, assign(vectors, used, metric, id_col, vector_col), done, sizes)
 
 
+def _assigned_sums(vectors: DataFrame, centroids: np.ndarray, metric: str, vector_col: str) -> DataFrame:
+    """Partial sums of the clusters that the vectors are nearest to."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Sums()
+        for batch in batches:
+            if batch.num_rows:
+                rows = matrix(batch.column(0))
+                total.add(nearest_centroid(rows, shared.value, metric), rows)
+        yield from total.batches()
+
+    return vectors.select(vector_col).mapInArrow(run, _SUMS)
+
+
 def assigned(vectors: DataFrame, centroids: np.ndarray, metric: str = "l2", vector_col: str = "embedding") -> DataFrame:
     """``(cid, embedding)`` of every vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
