@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from vectide.functions.embed import HashingEmbedder, embed
-from vectide.operators import loadstats, rag
+from vectide.operators import ann, knn, loadstats, rag
 from vectide.sources import vectors as V
 
 
@@ -29,6 +29,55 @@ def test_readers(spark, tmp_path):
     assert V.checked(V.read_npy(spark, str(tmp_path / "a.npy")), 5).count() == 2500
 
 
+def test_matrices_in_ranges(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1000, 6)).astype(np.float32)
+    np.save(tmp_path / "a.npy", m)
+    m.tofile(tmp_path / "a.bin")
+    m[7].tofile(tmp_path / "x.bin")
+    np.savetxt(tmp_path / "a.txt", m)
+    for found in (V.read_npy(spark, str(tmp_path / "a.npy"), 700), V.read_raw(spark, str(tmp_path / "a.bin"), 6, part_bytes=1000)):
+        got = found.orderBy("vec_id").collect()
+        assert [r["vec_id"] for r in got] == list(range(1000)) and np.array_equal([r["embedding"] for r in got], m)
+        assert found.rdd.getNumPartitions() > 20
+    with pytest.raises(ValueError, match="whole number"):
+        V.read_raw(spark, str(tmp_path / "a.bin"), 7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many blocks a file
+    try:
+        (tmp_path / "t").mkdir()
+        for name, part in (("2.txt", m[400:]), ("1.txt", m[:400])):
+            np.savetxt(tmp_path / "t" / name, part, header="rows")
+        text = V.read_text(spark, str(tmp_path / "t"))
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 5
+        got = text.orderBy("vec_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["vec_id"] for r in got] == list(range(1000)) and np.allclose([r["embedding"] for r in got], m, atol=1e-6)
+    out = tmp_path / "out"
+    assert V.write_npy(V.read_raw(spark, str(tmp_path / "a.bin"), 6).coalesce(1), str(out), 300) == 1000
+    assert V.write_npy(V.read_raw(spark, str(tmp_path / "a.bin"), 6).coalesce(1), f"file://{out}", 300) == 1000
+    files = sorted(out.iterdir())
+    assert len(files) == 4 and np.array_equal(np.vstack([np.load(f) for f in files]), m)
+
+
+def test_workloads(spark, tmp_path):
+    m = np.random.default_rng(5).normal(size=(50, 4)).astype(np.float32)
+    m.tofile(tmp_path / "A.bin")
+    m[3].tofile(tmp_path / "X.bin")
+    config = {"n": 50, "d": 4, "a_file": "A.bin", "x_file": "X.bin", "k": 3, "k_1": 5, "k_2": 5}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    w = V.workload(spark, str(tmp_path / "c.json"))
+    assert np.allclose(w.query, m[3]) and (w.k, w.clusters, w.probes) == (3, 5, 5)
+    exact = [r["vec_id"] for r in knn.nearest(w.vectors, w.query, w.k).orderBy("rank").collect()]
+    index = ann.build(w.vectors, w.clusters, max_iters=3)
+    assert exact[0] == 3 and [r["vec_id"] for r in ann.search_one(index, w.query, w.k, w.probes).orderBy("rank").collect()] == exact
+    (tmp_path / "d.json").write_text(json.dumps(config | {"n": 51}))
+    with pytest.raises(ValueError, match="not 51"):
+        V.workload(spark, str(tmp_path / "d.json"))
+    r = V.random_workload(spark, "knn")
+    assert len(r.query) == 100 and r.vectors.count() == 1000 and V.random_workload(spark, "kmeans").query is None
+
+
 def test_synthetic_is_stable(spark):
     a = V.synthetic(spark, 200, 8).orderBy("vec_id").collect()
     b = V.synthetic(spark.range(1).sparkSession, 200, 8).repartition(7).orderBy("vec_id").collect()

@@ -21,15 +21,6 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
-def ranges(spark: SparkSession, path: str, bytes_per_part: int) -> DataFrame:
-    """``(path, length, start, stop)``: the files in byte ranges, a task for each."""
-    rows = []
-    for r in listed(spark, path).orderBy("path").toLocalIterator():
-        rows += [(r["path"], r["length"], at, min(r["length"], at + bytes_per_part)) for at in range(0, max(1, r["length"]), bytes_per_part)]
-    found = spark.createDataFrame(rows, "path string, length long, start long, stop long")
-    return found.repartition(max(1, len(rows)), "path", "start")
-
-
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         yield from batch.to_pylist()
