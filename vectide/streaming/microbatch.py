@@ -8,20 +8,28 @@ loop starts, on its own clock, which no replay can know.)
 
 The scan is sequential, but a batch spans at most ``size`` arrivals, so it is
 split: arrivals are ranged over blocks, and each block computes for its first
-``size`` positions where a batch opened there would leave the block. The driver
-walks these small tables, blocks x size numbers, and every block then numbers
-its own batches. Blocks need the first ``size`` times of what follows them,
-which is as small.
+``size`` positions where a batch opened there would leave the block, by doubling
+steps. The driver walks these small tables, blocks x size numbers, and every block
+then numbers its own batches. Blocks need the first ``size`` times of what follows
+them; these and the block's entry come to it as one row of a table.
+
+The live runner closes by time at its triggers. What a trigger finds is divided by
+count where it lies: each partition's requests, in the order they were read, make
+micro-batches of at most ``size``.
 """
 
 from __future__ import annotations
 
 import math
+import time
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,36 +69,33 @@ def assign_batches(arrivals: DataFrame, size: int = SIZE, wait: float = WAIT, bl
         ahead[r["block"]] = following
         following = [*r["first"], *following][:size]
 
-    def exits(block: pa.Table) -> pa.Table:
-        key = block.column("block")[0].as_py()
+    def exits(block: pa.Table, given: pa.Table) -> pa.Table:
         times, _ = _sorted(block)
         rows = len(times)
-        step = _following(np.concatenate([times, np.array(ahead[key], np.int64)]), rows, size, wait_us)
-        leave, opened = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        for i in range(rows - 1, -1, -1):
-            j = step[i]
-            leave[i], opened[i] = (j - rows, 1) if j >= rows else (leave[j], opened[j] + 1)
-        few = min(size, rows)
-        return pa.table({"block": pa.array([key], pa.int32()), "leave": pa.array([leave[:few].tolist()], pa.list_(pa.int64())), "opened": pa.array([opened[:few].tolist()], pa.list_(pa.int64()))})
-
-    table = {r["block"]: r for r in ranged.groupBy("block").applyInArrow(exits, "block int, leave array<long>, opened array<long>").collect()}
-    enter: dict[int, tuple[int, int]] = {}
+        step = _following(np.concatenate([times, _one(given, "ahead")]), rows, size, wait_us)
+        leave, opened = _doubled(step, rows, size)
+        return pa.table({"block": block.column("block")[:1], "leave": pa.array([leave.tolist()], pa.list_(pa.int64())), "opened": pa.array([opened.tolist()], pa.list_(pa.int64()))})
+
+    kind = "block int, ahead array<long>, at long, number long"
+    given = spark.createDataFrame([(k, v, 0, 0) for k, v in ahead.items()], kind)
+    found = ranged.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(exits, "block int, leave array<long>, opened array<long>")
+    table = {r["block"]: r for r in found.collect()}
+    enter = []
     offset = number = 0
     for r in known:
         key = r["block"]
-        enter[key] = (offset, number)
+        enter.append((key, ahead[key], offset, number))
         if offset >= r["n"]:
             offset -= r["n"]
         else:
             number += table[key]["opened"][offset]
             offset = table[key]["leave"][offset]
 
-    def number_rows(block: pa.Table) -> pa.Table:
-        key = block.column("block")[0].as_py()
+    def number_rows(block: pa.Table, given: pa.Table) -> pa.Table:
         times, ordered = _sorted(block)
         rows = len(times)
-        step = _following(np.concatenate([times, np.array(ahead[key], np.int64)]), rows, size, wait_us)
-        at, first = enter[key]
+        step = _following(np.concatenate([times, _one(given, "ahead")]), rows, size, wait_us).tolist()
+        at, first = given.column("at")[0].as_py(), given.column("number")[0].as_py()
         opens = np.zeros(rows, np.int64)
         while at < rows:
             opens[at] = 1
@@ -98,8 +103,27 @@ def assign_batches(arrivals: DataFrame, size: int = SIZE, wait: float = WAIT, bl
         return pa.table({"id": ordered.column("id"), "ts": ordered.column("ts"), "batch_id": pa.array(first - 1 + np.cumsum(opens), pa.int64())})
 
     kinds = dict(timed.dtypes)
-    out = ranged.groupBy("block").applyInArrow(number_rows, f"id {kinds['id']}, ts {kinds['ts']}, batch_id long")
-    return out.select(F.col("id").alias(id_col), F.col("ts").alias(ts_col), "batch_id")
+    given = spark.createDataFrame(enter, kind)
+    out = ranged.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(number_rows, f"id {kinds['id']}, ts {kinds['ts']}, batch_id long")
+    named = out.select(F.col("id").alias(id_col), F.col("ts").alias(ts_col), "batch_id")
+    named.written_to = ranged.written_to  # for ``remove``
+    return named
+
+
+def _one(given: pa.Table, column: str) -> np.ndarray:
+    return np.array(given.column(column)[0].as_py(), np.int64)
+
+
+def _doubled(step: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For batches opened at each of the first positions: how far into the next block
+    they leave this one, and how many were opened, in a logarithm of rows steps."""
+    at = np.concatenate([step, np.arange(rows, rows + size + 1)])
+    opened = np.concatenate([np.ones(rows, np.int64), np.zeros(size + 1, np.int64)])
+    few = min(size, rows)
+    while (at[:few] < rows).any():
+        opened = opened + opened[at]
+        at = at[at]
+    return at[:few] - rows, opened[:few]
 
 
 def batch_stats(assigned: DataFrame) -> DataFrame:
@@ -108,35 +132,88 @@ def batch_stats(assigned: DataFrame) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_requests"), F.count("*").alias("n_batches"), F.coalesce(F.max("n"), F.lit(0)).alias("max_batch"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("avg_batch"))
 
 
-def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, wait: str = "1 second", drain: bool = False, timeout: float = 30.0) -> StreamingQuery:
+def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, wait: str = "1 second", drain: bool = False, timeout: float = 30.0, size: int = SIZE) -> StreamingQuery:
     """Runs a stream of ``requests(request_id, ts, query, k)`` through ``handle``
-    (requests as ``(qid, query, k)`` to ``(qid, query, result)``) in micro-batches
-    and writes ``(request_id, query, result, status)`` as Parquet, one folder per
-    batch: a batch that is run again replaces its own folder, so each request has
-    one response. A request older than ``timeout`` seconds when its batch runs
-    gets the status ``timeout`` and no result. ``drain`` finishes what there is
-    and stops.
+    (requests as ``(qid, query, k)`` to ``(qid, query, result)``) and writes
+    ``(request_id, query, result, status, part)`` as Parquet, one folder per trigger:
+    a trigger that is run again replaces its own folder, so each request has one
+    response.
+
+    What a trigger finds is divided into micro-batches (``part``) of at most ``size``
+    requests, without a shuffle. A request has the status
+    ``timeout`` and no result if its answer is not there ``timeout`` seconds after
+    its ``ts``: one that is older already isn't handled, the time is looked at again
+    when its answer is written, and jobs that run longer are cancelled. ``drain``
+    finishes what there is and stops.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        waited = F.unix_micros(F.current_timestamp()) - F.unix_micros("ts")
-        marked = batch.select("request_id", "query", "k", F.when(waited > timeout * 1e6, "timeout").otherwise("ok").alias("status"))
-        marked = marked.persist()
-        fresh = handle(marked.where("status = 'ok'").select(F.col("request_id").alias("qid"), "query", "k")).select("qid", "result")
-        out = marked.join(fresh, F.col("request_id") == F.col("qid"), "left").select("request_id", "query", "result", "status")
-        out.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        spark = batch.sparkSession
+        target = f"{sink}/batch={number}"
+        waited = time.time() - F.unix_micros("ts") / 1e6
+        place = F.monotonically_increasing_id()  # partition and position in it
+        part = F.shiftleft(F.shiftright(place, 33), 33) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / size)
+        marked = batch.select("request_id", "ts", "query", "k", F.coalesce(waited > timeout, F.lit(False)).alias("late"), part.alias("part")).persist()
+        columns = ["request_id", "query", "result", "status", "part"]
+
+        def answer() -> None:
+            fresh = handle(marked.where("not late").select(F.col("request_id").alias("qid"), "query", "k")).select("qid", "result")
+            late = F.col("late") | (_clock(F.unix_micros("ts"), F.col("result")) > timeout)
+            out = marked.join(fresh, F.col("request_id") == F.col("qid"), "left").withColumn("late", late)
+            out = out.select("request_id", "query", F.when(~F.col("late"), F.col("result")).alias("result"), F.when(F.col("late"), "timeout").otherwise("ok").alias("status"), "part")
+            out.write.mode("overwrite").parquet(target)
+
+        if not _within(spark, answer, timeout):
+            marked.select("request_id", "query", F.lit(None).cast("string").alias("result"), F.lit("timeout").alias("status"), "part").select(columns).write.mode("overwrite").parquet(target)
         marked.unpersist()
 
     trigger = {"availableNow": True} if drain else {"processingTime": wait}
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _clock(since_us: Column, after: Column) -> Column:
+    """Seconds from a time to when a value is there; null times have waited for none."""
+
+    @F.pandas_udf("double")
+    def run(since: pd.Series, value: pd.Series) -> pd.Series:
+        return (time.time() - since / 1e6).fillna(0.0)
+
+    return run.asNondeterministic()(since_us, after)
+
+
+def _within(spark: SparkSession, call: Callable[[], None], seconds: float) -> bool:
+    """Whether a call ends in so many seconds; if not, its jobs are cancelled."""
+    tag = f"serve-{uuid.uuid4().hex}"
+    failed: list[BaseException] = []
+
+    def tagged() -> None:
+        spark.sparkContext.addJobTag(tag)
+        spark.sparkContext.setInterruptOnCancel(True)
+        try:
+            call()
+        except BaseException as e:  # raised again below, unless it is the cancellation
+            failed.append(e)
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
+    worker = InheritableThread(target=tagged, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if worker.is_alive():
+        spark.sparkContext.cancelJobsWithTag(tag)
+        worker.join()
+        return False
+    if failed:
+        raise failed[0]
+    return True
+
+
 def responses(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.schema("request_id long, query string, result string, status string, batch int").parquet(sink)
+    return spark.read.schema("request_id long, query string, result string, status string, part long, batch int").parquet(sink)
 
 
 def stats(responses_df: DataFrame) -> DataFrame:
     """Running counters of a service: ``(total_requests, total_batches, max_batch,
     avg_batch, timeouts)``."""
-    sizes = responses_df.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "timeout").alias("late"))
+    sizes = responses_df.groupBy("batch", "part").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "timeout").alias("late"))
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_requests"), F.count("*").alias("total_batches"), F.max("n").alias("max_batch"), F.avg("n").alias("avg_batch"), F.coalesce(F.sum("late"), F.lit(0)).alias("timeouts"))
