@@ -59,3 +59,46 @@ def test_a_text_in_no_learned_language_is_not_claimed(spark):
     assert all(claimed for _, _, claimed in model.judge(clean + short))
     assert not any(claimed for _, _, claimed in model.judge(foreign + ["12", "", None]))
     assert all(score >= 1 / 2 for _, score in model.predict(foreign))  # the score can't tell
+
+
+def scripts(letters, seed, texts):
+    rng = random.Random(seed)
+    own = {f"l{k}": [chr(0x4E00 + 400 * k + i) for i in range(letters)] for k in range(4)}
+    return [(lang, " ".join("".join(rng.choices(own[lang], k=2)) for _ in range(25))) for lang in own for _ in range(texts)]
+
+
+@pytest.mark.parametrize("letters", [8, 60, 300])
+def test_languages_with_hundreds_of_letters(letters):
+    model = langid.fit(scripts(letters, 1, 100))
+    fresh = scripts(letters, 2, 50)
+    found = model.predict([t for _, t in fresh])
+    assert np.mean([lang == own for (own, _), (lang, _) in zip(fresh, found)]) >= 0.95
+
+
+def test_weights_solve_the_ridge_regression():
+    """On the Nyström features the gradient of the penalised squares is zero, and the
+    features' products are the kernel on the landmarks."""
+    data = [(lang, t) for _, t, lang, _ in rows(60, seed=3)]
+    ridge = 1e-3
+    model = langid.fit(data, landmarks=9, ridge=ridge)
+    texts = [t for _, t in data]
+    block = model.kernel(texts)
+    chosen = [t for lang in sorted(SYLLABLES) for t in [t for own, t in data if own == lang][:3]]
+    values, vectors = np.linalg.eigh(model.kernel(chosen))
+    x = block @ (vectors / np.sqrt(values))
+    z = model.kernel(chosen) @ (vectors / np.sqrt(values))
+    assert np.allclose(z @ z.T, model.kernel(chosen), atol=1e-6)
+    w = np.linalg.lstsq(vectors / np.sqrt(values), model.weights, rcond=None)[0]
+    y = np.array([[1.0 if lang == own else -1.0 for own in model.languages] for lang, _ in data])
+    off = x @ w + model.bias - y
+    assert np.allclose(off.sum(axis=0), 0, atol=1e-6)
+    assert np.allclose(x.T @ off + ridge * len(data) * w, 0, atol=1e-5)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    data = [(i, "kalo " * (2000 if i % 2 else 10), "xx", "s") for i in range(200)] + [(1000 + i, "strung " * 5000, "yy", "s") for i in range(9)]
+    df = spark.createDataFrame(data, DOCS)
+    found = langid.sample(df, "doc_id", "text", "lang", 50, language_bytes=20_000)
+    size = {lang: sum(len(t) for own, t in found if own == lang) for lang in ("xx", "yy")}
+    assert size["xx"] <= 20_000 and size["yy"] == 35_000  # one row at least
+    assert all(len(t) == 50 for lang, t in found if lang == "xx")

@@ -2,16 +2,20 @@
 
 The kernel of two texts is the number of distinct n-grams (lengths 1 to 3,
 blended) that both hold, over the root of the product of their own numbers.
-Texts are folded to at most 64 letter classes first, so that every n-gram has
-an exact slot in a table and presence needs no hashing or sorting. Nyström
-landmarks, a bounded share of a bounded labelled sample, give the feature map;
+Every letter counts, case folded, and all other characters alike. N-grams of the
+62 most frequent letters have a slot each in a table of flags; those with any other
+letter, of which a text in one script has few or a text in a large script many,
+are sorted as numbers. Both are exact. Nyström landmarks, a bounded share of a
+bounded labelled sample (at least one of each language), give the feature map;
 one-versus-rest kernel ridge regression is solved on it in closed form; scoring
 a block of documents is two matrix products: presence times landmark presence,
 and the normalised kernel block times the weights.
 
 The sample is ``per_language`` rows of each language, those with the smallest
-row hash, so the same rows give the same model at any partitioning. Everything
-else, prediction above all, works on whole texts of all rows.
+row hash, as far as they have ``language_bytes`` together (texts over a tenth of
+that come last, and one row is always taken), so the same rows give the same model
+at any partitioning. Everything else, prediction above all, works on whole texts
+of all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without any labelled row all are ``und``; ties go to the first language in
@@ -52,37 +56,54 @@ def has_letter(text: str | None) -> bool:
 
 
 def _alphabet(texts: list[str]) -> np.ndarray:
-    """Class of each code point: 0 no letter, 1 a rare letter, else a frequent one."""
+    """Number of each code point: 0 no letter, below CLASSES a frequent letter, else
+    a letter of its own."""
     counts: Counter[str] = Counter()
     for t in texts:
         counts.update(t.lower())
     letters = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[: CLASSES - 2]
     classes = {c: k for k, c in enumerate(letters, 2)}
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            table[point] = classes.get(c.lower(), 1)
+            low = c.lower()
+            table[point] = classes.get(low, CLASSES + ord(low[0]))
     return table
 
 
-def _mark(text: str, table: np.ndarray, flags: np.ndarray) -> None:
-    """Set the flag of every n-gram of the text."""
+def _mark(text: str, table: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Set the flag of every n-gram of frequent letters; the sorted numbers of the others."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    rare = [np.zeros(0, np.int64)]
     for start in range(0, len(points), CHUNK):
-        one = table[points[start : start + CHUNK + 2]].astype(np.int32)
+        one = table[points[start : start + CHUNK + 2]].astype(np.int64)
         two = one[:-1] * CLASSES + one[1:]
-        flags[one] = True
-        flags[two + CLASSES] = True
-        flags[two[:-1] * CLASSES + one[2:] + CLASSES + CLASSES**2] = True
+        three = two[:-1] * CLASSES + one[2:]
+        large = one >= CLASSES
+        if not large.any():
+            flags[one] = True
+            flags[two + CLASSES] = True
+            flags[three + CLASSES + CLASSES**2] = True
+            continue
+        large2 = large[:-1] | large[1:]
+        large3 = large2[:-1] | large[2:]
+        flags[one[~large]] = True
+        flags[two[~large2] + CLASSES] = True
+        flags[three[~large3] + CLASSES + CLASSES**2] = True
+        own = one + 1
+        pairs = (own[:-1] << 21) | own[1:]
+        rare += [np.unique(x) for x in (own[large], pairs[large2], ((pairs[:-1] << 21) | own[2:])[large3])]
+    return np.unique(np.concatenate(rare))
 
 
 @dataclass
 class Model:
     languages: list[str]
     table: np.ndarray
-    slots: np.ndarray  # n-grams that any landmark holds
-    landmarks: np.ndarray  # slots x landmarks, presence
+    slots: np.ndarray  # n-grams of frequent letters that any landmark holds
+    others: np.ndarray  # the other n-grams that any landmark holds, sorted
+    landmarks: np.ndarray  # slots and others x landmarks, presence
     sizes: np.ndarray  # distinct n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
@@ -91,13 +112,17 @@ class Model:
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Presence of the slots in each text, and each text's distinct n-grams."""
         flags = np.zeros(SLOTS, bool)
-        presence = np.zeros((len(texts), len(self.slots)), np.float32)
+        frequent = len(self.slots)
+        presence = np.zeros((len(texts), frequent + len(self.others)), np.float32)
         sizes = np.ones(len(texts))
         for k, t in enumerate(texts):
             flags[:] = False
-            _mark(t, self.table, flags)
-            presence[k] = flags[self.slots]
-            sizes[k] = max(1, np.count_nonzero(flags))
+            rare = _mark(t, self.table, flags)
+            presence[k, :frequent] = flags[self.slots]
+            if len(rare) and len(self.others):
+                at = np.minimum(np.searchsorted(self.others, rare), len(self.others) - 1)
+                presence[k, frequent + at[self.others[at] == rare]] = 1
+            sizes[k] = max(1, np.count_nonzero(flags) + len(rare))
         return presence, sizes
 
     def kernel(self, texts: list[str]) -> np.ndarray:
@@ -134,17 +159,18 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 128, ridge: float = 1e-3)
     languages = sorted({lang for lang, _ in rows})
     table = _alphabet([t for _, t in rows])
     if not languages:
-        return Model([], table, np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0)
+        return Model([], table, np.zeros(0, int), np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0)
     share = max(1, landmarks // len(languages))
     chosen = [t for lang in languages for t in [t for own, t in rows if own == lang][:share]]
-    flags = np.zeros((len(chosen), SLOTS), bool)
-    for k, t in enumerate(chosen):
-        _mark(t, table, flags[k])
-    slots = np.flatnonzero(flags.any(axis=0))
-    presence, sizes = flags[:, slots].astype(np.float32), flags.sum(axis=1).astype(float)
+    held, others = np.zeros(SLOTS, bool), []
+    for t in chosen:
+        others.append(_mark(t, table, held))
+    slots, others = np.flatnonzero(held), np.unique(np.concatenate(others))
+    model = Model(languages, table, slots, others, np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), 0.0)
+    presence, sizes = model.presence(chosen)
     # Each landmark against the others.
     usual = USUAL * float(np.median(presence @ (presence.sum(axis=0) > 1) / sizes))
-    model = Model(languages, table, slots, presence.T, sizes, np.zeros((len(chosen), len(languages))), np.zeros(len(languages)), usual)
+    model = Model(languages, table, slots, others, presence.T, sizes, np.zeros((len(chosen), len(languages))), np.zeros(len(languages)), usual)
 
     values, vectors = np.linalg.eigh(model.kernel(chosen))
     good = values > 1e-6 * values.max()
@@ -165,19 +191,22 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, language_bytes: int = 4 << 20) -> list[tuple[str, str]]:
     """The bounded labelled sample, smallest row hashes first."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull() & ~held_out(id_col))
-    hashed = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashed.select("lang", "h").withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "h").distinct()
+    hashed = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
+    order = [F.col("size") > language_bytes // 10, F.col("h")]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    first = hashed.select("lang", "h", "size").withColumn("r", rank).where(F.col("r") <= per_language)
+    total = F.sum("size").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("total", total).where((F.col("total") <= language_bytes) | (F.col("r") == 1)).select("lang", "h").distinct()
     # At most per_language hashes a language: a size bound for the broadcast.
     rows = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, landmarks: int = 128) -> Model:
-    return fit(sample(docs, id_col, text_col, lang_col, per_language), landmarks)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, landmarks: int = 128, language_bytes: int = 4 << 20) -> Model:
+    return fit(sample(docs, id_col, text_col, lang_col, per_language, language_bytes), landmarks)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
