@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -59,3 +60,23 @@ def test_empty_tables(spark):
     assert D.scan(docs, bench).count() == 0
     one = spark.createDataFrame([(1, "some text", "", "")], DOCS)
     assert [(r["n_words"], r["hits"], r["items"]) for r in D.scan(one, bench).collect()] == [(2, [], [])]
+
+
+def test_many_short_items_take_linear_time():
+    words = [b"w%d" % i for i in range(20_000)]
+    automaton = D.Automaton([(str(i), [w]) for i, w in enumerate(words)] + [(f"same{i}", [b"again"]) for i in range(2_000)])
+    began = time.perf_counter()
+    spans, items = automaton.match(words + [b"again", b"x"] * 20_000)
+    assert time.perf_counter() - began < 10
+    assert len(items) == 22_000 and sum(b - a for a, b in spans) == 40_000
+
+
+def test_clashing_columns_in_several_blocks(spark):
+    kind = T.StructType().add("doc_id", "long").add("text", "string").add("__hash", "string").add("__hits", "string").add("__spans", "string")
+    docs = spark.createDataFrame([(1, "b one two three four b", "p", "q", "r"), (1, "b one two three four b", "p", "q", "r"), (2, None, None, None, None), (3, "five six seven eight", "p", None, "r")], kind)
+    bench = spark.createDataFrame([("i", "one two three", ""), ("j", "five six seven eight", ""), ("k", "three four", "")], ITEMS)
+    got = D.decontaminate(docs, bench, most_coverage=0.7, block_words=4)
+    assert got.columns == kind.names
+    assert sorted((r["doc_id"], r["text"], r["__hash"], r["__hits"]) for r in got.collect()) == [(1, "b  b", "p", "q"), (1, "b  b", "p", "q"), (2, None, None, None)]
+    found = D.scan(docs, bench, block_words=4).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["items"], r["__spans"] or "") for r in found) == [(1, 6, ["i", "k"], "r"), (1, 6, ["i", "k"], "r"), (2, 0, [], ""), (3, 4, ["j"], "r")]

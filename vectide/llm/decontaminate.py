@@ -7,8 +7,10 @@ longest run of words, ending there, that occurs in some item. A run that
 reaches the window length, or that is a whole shorter item, is a hit.
 
 Automata are built for blocks of at most ``block_words`` item words, so that
-what is sent to the executors is bounded; a larger benchmark makes further
-passes over the documents, with the hits so far in a written table.
+what is sent to the executors is bounded, once in each Python worker. A larger
+benchmark makes a pass over the texts for each block; a pass writes only the hits
+of the texts that have any, under a hash of the text, and these are joined to the
+documents at the end. No pass writes a document.
 
 Defined results: null has no words; an item without words has no window; an
 item that is repeated, or whose id is null, hits like any other, and ids count
@@ -19,18 +21,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.llm.common import slices, texts
-from vectide.sources.tables import written
+from vectide.sources.tables import fresh, written
 
 WINDOW = 10
 #: Maps A-Z to a-z and every byte that is no part of a word to a space.
@@ -108,6 +112,7 @@ class Automaton:
         """Word spans (start, end) of window occurrences, and the items they come from."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
+        occurring: set[tuple[int, int]] = set()
         n = len(words)
         if not self.shortest or n < self.shortest:
             return spans, items
@@ -132,17 +137,32 @@ class Automaton:
                 state, depth = following, depth + 1
                 found = nearest[state]
                 while found > 0:
-                    for size, names in windows[found]:
+                    for size, _ in windows[found]:
                         if size <= depth:
-                            items |= names
+                            occurring.add((found, size))
                             if spans and spans[-1][1] >= at - size:
                                 spans[-1] = (min(spans[-1][0], at - size), at)
                             else:
                                 spans.append((at - size, at))
                     found = nearest[link[found]] if link[found] > 0 else -1
+        for state in {state for state, _ in occurring}:
+            for size, names in windows[state]:
+                if (state, size) in occurring:
+                    items |= names
         return _merged(spans), items
 
 
+_BUILT: dict[str, Automaton] = {}
+
+
+def _built(key: str, block: Broadcast, window: int) -> Automaton:
+    """The automaton of a block, kept in this Python worker until it needs another."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(block.value, window)
+    return _BUILT[key]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -153,50 +173,98 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of about ``block_words`` words, one collected at a time."""
+def _block_count(items: DataFrame, text_col: str, block_words: int) -> int:
+    size = items.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit(""))) / 4 + 1)).first()[0] or 0
+    return max(1, -(-int(size) // block_words))
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, count: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks by a hash of their text, one collected at a time."""
     named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-    size = named.agg(F.sum(F.octet_length("text") / 4 + 1)).first()[0] or 0
-    count = max(1, -(-int(size) // block_words))
     for k in range(count):
         part = named.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).orderBy("name", "text").collect()
         yield [(r["name"], words_of(r["text"].encode())) for r in part]
 
 
+_SPANS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ARROW_NAMES = pa.list_(pa.string())
+
+
+def _as_spans(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in spans] for spans in found], _ARROW_SPANS)
+
+
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 150_000, into: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (array of word spans, merged) and
     ``items`` (sorted ids), or as named by ``into``; columns so named are replaced."""
     spark = docs.sparkSession
     state = docs.drop(*into)
     at = state.columns.index(text_col)
-    base = len(state.columns)
-    spans_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    schema = T.StructType(list(state.schema)).add(into[0], "long").add(into[1], spans_type).add(into[2], T.ArrayType(T.StringType()))
-    arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    first = True
-    for block in _blocks(items, item_id, item_text, block_words):
-        if not first:
-            state = written(state, "hits")
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+    schema = T.StructType(list(state.schema)).add(into[0], "long").add(into[1], _SPANS).add(into[2], T.ArrayType(T.StringType()))
+    count = _block_count(items, item_text, block_words)
+    blocks = ((uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _blocks(items, item_id, item_text, count))
+    if count == 1:
+        key, shared = next(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _built(key, shared, window)
             for batch in slices(batches):
                 counts, spans, names = [], [], []
-                before = [[]] * batch.num_rows, [[]] * batch.num_rows
-                if batch.num_columns > base:
-                    before = batch.column(base + 1).to_pylist(), batch.column(base + 2).to_pylist()
-                for text, old, own in zip(texts(batch.column(at)), *before):
+                for text in texts(batch.column(at)):
                     words = words_of(text)
                     found, ids = automaton.match(words)
                     counts.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in (_merged([*found, *((x["start"], x["end"]) for x in old)]) if old else found)])
-                    names.append(sorted(ids.union(own)))
-                made = [pa.array(counts, pa.int64()), pa.array(spans, arrow_spans), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:base], *made], names=schema.fieldNames())
+                    spans.append(found)
+                    names.append(sorted(ids))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), _as_spans(spans), pa.array(names, _ARROW_NAMES)], names=schema.fieldNames())
 
-        state, first = state.mapInArrow(run, schema), False
-    return state
+        return state.mapInArrow(run, schema)
+
+    found = _hits_by_text(state, text_col, blocks, window)
+    hashed, spans, names = (fresh(c, state) for c in ("__hash", "__spans", "__names"))
+    found = found.select(F.col("hash").alias(hashed), F.col("hits").alias(spans), F.col("items").alias(names))
+    joined = state.withColumn(hashed, _text_hash(text_col)).join(found, hashed, "left").select(*[F.col(f"`{c}`") for c in state.columns], spans, names)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = [len(words_of(t)) for t in texts(batch.column(at))]
+            merged = [_merged([(x["start"], x["end"]) for part in h or () for x in part]) for h in batch.column(batch.num_columns - 2).to_pylist()]
+            ids = [sorted({x for part in n or () for x in part}) for n in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64()), _as_spans(merged), pa.array(ids, _ARROW_NAMES)], names=schema.fieldNames())
+
+    return joined.mapInArrow(finish, schema)
+
+
+def _text_hash(text_col: str) -> F.Column:
+    return F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+
+
+def _hits_by_text(docs: DataFrame, text_col: str, blocks: Iterator[tuple[str, Broadcast]], window: int) -> DataFrame:
+    """``(hash, hits, items)``: for each text with hits, those of every block, one list a block."""
+    some = docs.select(_text_hash(text_col).alias("hash"), F.col(f"`{text_col}`").alias("text"))
+    parts = []
+    for key, shared in blocks:
+
+        def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = _built(key, shared, window)
+            for batch in slices(batches):
+                rows, spans, names = [], [], []
+                for k, text in enumerate(texts(batch.column(1))):
+                    found, ids = automaton.match(words_of(text))
+                    if found:
+                        rows.append(k)
+                        spans.append(found)
+                        names.append(sorted(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), _as_spans(spans), pa.array(names, _ARROW_NAMES)], names=["hash", "hits", "items"])
+
+        schema = T.StructType().add("hash", "string").add("hits", _SPANS).add("items", T.ArrayType(T.StringType()))
+        # Copies of a text have the same hits: one of them is enough.
+        parts.append(written(some.mapInArrow(run, schema).dropDuplicates(["hash"]), "hits"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("hash").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
 
 
 def digest(names: list[str]) -> str:
@@ -217,9 +285,10 @@ def remove_hits(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", most_coverage: float = 0.5, **options) -> DataFrame:
     """``docs`` without hit spans in the text; documents of which more than
     ``most_coverage`` of the words are hit go. Documents without a hit are unchanged."""
-    found = scan(docs, items, text_col, into=("__n_words", "__hits", "__items"), **options)
-    hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    found = found.where(hit <= most_coverage * F.col("__n_words"))
+    n_words, hits, names_ = (fresh(c, docs) for c in ("__n_words", "__hits", "__items"))
+    found = scan(docs, items, text_col, into=(n_words, hits, names_), **options)
+    hit = F.aggregate(hits, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = found.where(hit <= most_coverage * F.col(n_words))
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +301,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", mos
                 columns[at] = pa.array([remove_hits(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(old, spans)], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*[F.col(f"`{c}`") for c in names], "__hits").mapInArrow(run, schema)
+    return found.select(*[F.col(f"`{c}`") for c in names], hits).mapInArrow(run, schema)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
