@@ -59,6 +59,13 @@ def test_preferences_against_loops(spark):
     assert chat.format_preferences(chat.adjacent_pairs(spark.createDataFrame([], TURNS))).count() == 0
 
 
+def test_negative_ids_make_pairs(spark):
+    rows = [(k, 0, "user", f"q{k}") for k in (-3, -2, -1, 0, 1)]
+    df = spark.createDataFrame([(*r, "", "") for r in rows], TURNS)
+    got = {r["pair"]: (r["chosen"], r["rejected"]) for r in chat.format_preferences(chat.adjacent_pairs(df)).collect()}
+    assert got == {k: (show("user", f"q{2 * k}"), show("user", f"q{2 * k + 1}")) for k in (-1, 0)}
+
+
 def test_preferences_run_without_python(spark):
     df = spark.createDataFrame([(0, 0, "user", "a", "", "")], TURNS)
     plan = chat.format_preferences(chat.adjacent_pairs(df))._jdf.queryExecution().toString()

@@ -66,14 +66,15 @@ def _mask(rest: F.Column) -> F.Column:
 
 
 def adjacent_pairs(conversations: DataFrame) -> DataFrame:
-    """Every two conversations whose ids differ in the last bit, the even one chosen."""
-    return conversations.select(F.expr("conv_id div 2").alias("pair"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
+    """Every two conversations whose ids differ in the last bit, the even one chosen;
+    negative ids too, as -2 and -1 are a pair."""
+    return conversations.select(F.shiftright("conv_id", 1).alias("pair"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
 
 
 #: The query ``format_preferences(adjacent_pairs(conversations))`` in SQL.
 SQL = r"""
 with placed as (
-  select distinct conv_id // 2 as pair, conv_id % 2 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  select distinct (conv_id - (conv_id % 2 + 2) % 2) // 2 as pair, (conv_id % 2 + 2) % 2 as side, turn, coalesce(role, '') as role, coalesce(text, '') as text
   from conversations where conv_id is not null
 ), numbered as (
   select *, row_number() over (partition by pair, side order by turn nulls first, role, text) as k,
