@@ -1,5 +1,9 @@
+import json
 import random
 import time
+import urllib.error
+import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
@@ -9,6 +13,7 @@ from vectide.functions.embed import HashingEmbedder, embed
 from vectide.operators import rag
 from vectide.sources import vectors as V
 from vectide.streaming import microbatch as M
+from vectide.streaming.service import Service
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -102,3 +107,30 @@ def test_slow_answers_time_out(spark, tmp_path, slow):
     assert time.monotonic() - began < 50
     got = M.responses(spark, str(tmp_path / "out")).collect()
     assert sorted(r["request_id"] for r in got) == [0, 1, 2] and {(r["status"], r["result"]) for r in got} == {("timeout", None)}
+
+
+def test_http_service(spark, tmp_path):
+    docs = embed(V.documents(spark), HashingEmbedder()).cache()
+    handle = lambda asked: rag.answer(docs, asked, HashingEmbedder(), rag.EchoGenerator())
+    service = Service(spark, handle, str(tmp_path / "service"), wait=0.2)
+
+    def post(body, path="/rag"):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(service.address + path, body), timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    for bad in (b"", b"[]", b"no json", b'{"k": 2}', b'{"query": ""}', b'{"query": "q", "k": 0}', b'{"query": "q", "k": "2"}', b'{"query": 5}'):
+        assert post(bad)[0] == 422
+    assert post(b"{}", "/other")[0] == 404
+    with ThreadPoolExecutor(20) as pool:
+        got = list(pool.map(lambda i: post(json.dumps({"query": f"rivers and ships {i}", "k": 1 + i % 3}).encode()), range(20)))
+    asked = spark.createDataFrame([(i, f"rivers and ships {i}", 1 + i % 3) for i in range(20)], "qid long, query string, k int")
+    want = {r["query"]: r["result"] for r in handle(asked).collect()}
+    assert [s for s, _ in got] == [200] * 20 and all(b["result"] == want[b["query"]] for _, b in got)
+    with urllib.request.urlopen(service.address + "/performance") as r:
+        counts = json.loads(r.read())
+    assert counts["total_requests"] == counts["answered"] == counts["batched"] == 20 and counts["max_batch"] <= 16 and counts["total_batches"] >= 2 and counts["timeouts"] == 0
+    service.stop()
+    assert M.stats(M.responses(spark, str(tmp_path / "service" / "answers"))).first()["total_requests"] == 20

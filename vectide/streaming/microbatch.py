@@ -132,7 +132,7 @@ def batch_stats(assigned: DataFrame) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_requests"), F.count("*").alias("n_batches"), F.coalesce(F.max("n"), F.lit(0)).alias("max_batch"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("avg_batch"))
 
 
-def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, wait: str = "1 second", drain: bool = False, timeout: float = 30.0, size: int = SIZE) -> StreamingQuery:
+def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, wait: str = "1 second", drain: bool = False, timeout: float = 30.0, size: int = SIZE, done: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Runs a stream of ``requests(request_id, ts, query, k)`` through ``handle``
     (requests as ``(qid, query, k)`` to ``(qid, query, result)``) and writes
     ``(request_id, query, result, status, part)`` as Parquet, one folder per trigger:
@@ -143,8 +143,9 @@ def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: s
     requests, without a shuffle. A request has the status
     ``timeout`` and no result if its answer is not there ``timeout`` seconds after
     its ``ts``: one that is older already isn't handled, the time is looked at again
-    when its answer is written, and jobs that run longer are cancelled. ``drain``
-    finishes what there is and stops.
+    when its answer is written, and jobs that run longer are cancelled. ``done`` gets
+    the responses of each trigger once they are written. ``drain`` finishes what there
+    is and stops.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -166,6 +167,8 @@ def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: s
         if not _within(spark, answer, timeout):
             marked.select("request_id", "query", F.lit(None).cast("string").alias("result"), F.lit("timeout").alias("status"), "part").select(columns).write.mode("overwrite").parquet(target)
         marked.unpersist()
+        if done is not None:
+            done(spark.read.schema("request_id long, query string, result string, status string, part long").parquet(target))
 
     trigger = {"availableNow": True} if drain else {"processingTime": wait}
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
