@@ -88,6 +88,16 @@ def test_names_are_evidence_and_attributes_are_parsed():
     assert html.main_text(f"<article>{one}<section><h1>Replies</h1><article>{one}</article></section></article>").count(LONG) == 1
 
 
+def test_forms_go_unless_they_frame_the_page():
+    one = f"<p>{LONG}</p>"
+    assert html.main_text(page(f"<form id=page><div><article>{one}</article></div><aside>{one}</aside></form>")) == LONG
+    assert html.main_text(page(f"<form>{one}{one}</form>")) == f"{LONG}\n\n{LONG}"
+    assert html.main_text(page(f"<article>{one}{one}{one}</article><form>{one}{one}<label>Name</label></form>")).count(LONG) == 3
+    assert html.main_text(page(f"<form><p>Your name</p><label>{LONG}</label></form>")) == ""
+    related = f'<section class="related-posts"><article><h3><a href=x>Another</a></h3>{one}</article></section>'
+    assert html.main_text(page(f"<article>{one}</article>{related}")) == LONG
+
+
 def test_edges_decide():
     """Blocks that their own score would put on the wrong side."""
     pages = {

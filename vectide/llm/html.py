@@ -14,7 +14,8 @@ word (``sidebar``, ``comment-list``) counts in full; one with such a word among
 others counts less, in as far as the element does not hold most of the page's
 text; prefixes of states and categories (``has-``, ``no-``, ``tag-``) count
 nothing. Evidence adds up over ancestors within bounds, and what compounds say
-ends at ``article`` and ``main``.
+ends at ``article`` and ``main``. Forms go, but for one that is a frame around the
+page.
 
 Defined results: null html is empty; text of scripts, styles, titles, forms,
 comments and hidden elements is never a block; a page without content has the
@@ -45,7 +46,7 @@ _BLOCK = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head template svg math select datalist button iframe object audio video canvas noscript form dialog map applet".split())
+_DROPPED = frozenset("head template svg math select datalist button iframe object audio video canvas noscript dialog map applet".split())
 _CLOSES_P = _BLOCK - {"caption", "head", "html", "body", "option", "optgroup", "legend", "tbody", "thead", "tfoot", "tr", "td", "th"}
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ELEMENT = {"nav": -6.0, "menu": -6.0, "footer": -6.0, "aside": -6.0, "search": -6.0, "article": 2.5, "main": 2.5, "blockquote": 0.5, "table": -0.5}
@@ -54,7 +55,7 @@ _BAD = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended trending copyright disclaimer toolbar skip search tags meta".split()
 )
 _PLACES = frozenset(
-    "area bar block body bottom box buttons col column container content desktop fixed form global group header holder inner item items left link links list lists main menus mobile outer page panel primary region right root row secondary section site slot sticky thread top unit wrap wrapper".split()
+    "area articles bar block body bottom box buttons col column container content desktop fixed form global group header holder inner item items left link links list lists main menus mobile news outer page panel posts primary region right root row secondary section site slot sticky stories thread top unit wrap wrapper".split()
 )
 _STATES = frozenset("has no not with without is hide show".split())
 _PREFIXES = frozenset("tag category cat tax type status format layout js template theme single".split())
@@ -74,6 +75,9 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = tuple(".!?:;\"'”»…)。！？")
 
 ADJACENT, SIBLING = 1.2, 0.6
+#: Characters of a paragraph of prose; two in a form with most of the page's text, or
+#: an article, show that the form is a frame around the page.
+PROSE = 80
 #: Beyond so many steps a smoothness weight is as good as zero.
 FAR = 60
 
@@ -112,12 +116,13 @@ class _Element:
     """``firm`` and ``loose`` are the element's own evidence; ``evidence`` the sum
     with its ancestors', once the page's text is placed."""
 
-    __slots__ = ("name", "parent", "depth", "firm", "loose", "evidence", "firmly", "loosely", "dropped", "inside", "size")
+    __slots__ = ("name", "parent", "depth", "firm", "loose", "evidence", "firmly", "loosely", "dropped", "inside", "size", "form", "prose")
 
     def __init__(self, name: str, parent: _Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.size = 0
+        self.size = self.prose = 0
+        self.form = self if name == "form" else parent.form if parent else None
         inside = bool(parent and parent.inside)
         self.dropped = bool(parent and parent.dropped) or name in _DROPPED
         self.firm, self.loose = _ELEMENT.get(name, 0.0), 0.0
@@ -126,6 +131,8 @@ class _Element:
             self.firm = WORD  # articles in an article are what readers say, or teasers
         if name == "header":
             self.firm = COMPOUND / 2 if inside else WORD
+        if text and self.form:
+            self.form.prose += 2
         self.inside = name if text else inside and parent.inside
         if attributes:
             held = attributes_of(attributes)
@@ -188,6 +195,8 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
             if text:
                 out.append((text, min(1.0, link_size / len(text)), here))
                 here.size += len(text)
+                if here.form and here.name == "p" and len(text) >= PROSE:
+                    here.form.prose += 1
             pieces.clear()
             link_size = 0
 
@@ -243,7 +252,8 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
         add(html[at:])
     flush()
     _weigh(elements)
-    return out
+    forms = {e for e in elements if e.name == "form" and not (e.prose >= 2 and 2 * e.size > top.size)}
+    return [b for b in out if b[2].form not in forms]
 
 
 def log_odds(text: str, links: float, element: _Element) -> float:
