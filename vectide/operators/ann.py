@@ -22,6 +22,8 @@ from vectide.operators.topk import top_k_per_group
 from vectide.sources.vectors import matrix
 
 Search = Callable[..., DataFrame]
+#: Clusters that a filter lists; beyond, rows of clusters not probed are skipped as read.
+MOST_LISTED = 10_000
 
 
 @dataclass
@@ -103,7 +105,9 @@ def search_batch(index: Index, queries: DataFrame, k: int, probes: int, metric:
                 held, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 rows = matrix(batch.column(2))
                 for c in np.unique(held):
-                    asking = probing[int(c)]
+                    asking = probing.get(int(c))
+                    if asking is None:
+                        continue
                     mine = np.flatnonzero(held == c)
                     step = max(1, knn.ROW_BYTES // (8 * max(points.shape[1], len(asking))))
                     for start in range(0, len(mine), step):
@@ -111,7 +115,9 @@ def search_batch(index: Index, queries: DataFrame, k: int, probes: int, metric:
                         best.offer(ids[some], rows[some], asking)
             yield from best.batches(qids, id_col)
 
-        rows = knn._with_vectors(index.vectors, id_col, vector_col, "cid").where(F.col("cid").isin(list(probing)))
+        rows = knn._with_vectors(index.vectors, id_col, vector_col, "cid").where("cid is not null")
+        if len(probing) <= MOST_LISTED:  # prunes the folders of a written index
+            rows = rows.where(F.col("cid").isin(list(probing)))
         part = rows.select("cid", id_col, vector_col).mapInArrow(run, columns)
         out = part if out is None else out.unionByName(part)
     if out is None:
