@@ -18,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import distances
 from vectide.operators.topk import top_k_per_group
-from vectide.sources.tables import written
 from vectide.sources.vectors import matrix
 
 ROW_BYTES = 32 << 20
+#: So many queries are taken in one job, if they fit in a block; others are counted first.
+FEW = 1024
 
 
 def _ascending(metric: str, order: str | None) -> bool:
@@ -122,18 +124,29 @@ class Nearest:
 def _query_blocks(queries: DataFrame, query_bytes: int, more: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """(ids, vectors, k, further columns) of the queries, in blocks of bounded size;
     ``more`` bytes are what the further columns of a query take."""
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
-    count = max(1, -(-size["n"] * (8 * (size["d"] or 0) + 16 + more) // query_bytes))
-    if count > 1:  # several passes read the queries: compute them once
-        queries = written(queries, "queries")
-    for block in range(count):
-        part = queries if count == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block)
-        rows = part.orderBy("qid").toArrow()
-        if rows.num_rows:
-            table = rows.combine_chunks().to_batches()[0]
-            if table.column(2).null_count:
-                raise ValueError("a query needs k")
-            yield table.column(0).to_numpy(), matrix(table.column(1)), table.column(2).to_numpy(), *(c.to_pylist() for c in table.columns[3:])
+    row_bytes = lambda d: 8 * d + 16 + more
+    few = queries.limit(FEW + 1).toArrow()
+    if few.num_rows <= FEW and few.num_rows * row_bytes(pc.max(pc.list_value_length(few.column(1))).as_py() or 0) <= query_bytes:
+        if few.num_rows:
+            yield _query_block(few)
+        return
+    queries = queries.persist()  # read more than once; what is lost is computed again
+    try:
+        size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
+        count = max(1, -(-size["n"] * row_bytes(size["d"] or 0) // query_bytes))
+        for block in range(count):
+            rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block).toArrow()
+            if rows.num_rows:
+                yield _query_block(rows)
+    finally:
+        queries.unpersist()
+
+
+def _query_block(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    table = rows.sort_by("qid").combine_chunks().to_batches()[0]
+    if table.column(2).null_count:
+        raise ValueError("a query needs k")
+    return table.column(0).to_numpy(), matrix(table.column(1)), table.column(2).to_numpy(), *(c.to_pylist() for c in table.columns[3:])
 
 
 def _with_vectors(vectors: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:

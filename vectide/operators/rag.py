@@ -48,11 +48,16 @@ def retrieve(documents: DataFrame, queries: DataFrame, order: str = "desc", digi
 def prompts(retrieved: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, prompt)`` from ``queries(qid, query)`` and the retrieved texts by rank.
     A query's texts are its k at most, so its group is bounded."""
+    return _prompted(retrieved, documents, queries).select("qid", "prompt")
+
+
+def _prompted(retrieved: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """``queries`` with their ``prompt``."""
     texts = retrieved.join(documents.select("doc_id", "text"), "doc_id")
     context = texts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))).alias("docs"))
     joined = F.array_join(F.transform(F.coalesce("docs", F.array().cast("array<struct<rank:int,text:string>>")), lambda d: d["text"]), "\n")
     prompt = F.concat(F.lit("Question: "), "query", F.lit("\nContext:\n"), joined, F.lit("\nAnswer:"))
-    return queries.join(context, "qid", "left").select("qid", prompt.alias("prompt"))
+    return queries.join(context, "qid", "left").withColumn("prompt", prompt)
 
 
 def generate(df: DataFrame, generator: Generator, prompt_col: str = "prompt", into: str = "result") -> DataFrame:
@@ -69,5 +74,5 @@ def answer(documents: DataFrame, asked: DataFrame, embedder: Embedder, generator
     ``documents(doc_id, text, embedding)``."""
     valid = requests(asked)
     vectors = embed(valid.withColumn("text", F.col("query")), embedder, into="q").select("qid", "q", "k")
-    filled = prompts(retrieve(documents, vectors, order, digits), documents, valid)
-    return generate(valid.join(filled, "qid"), generator).select("qid", "query", "result")
+    filled = _prompted(retrieve(documents, vectors, order, digits), documents, valid)
+    return generate(filled, generator).select("qid", "query", "result")

@@ -150,6 +150,7 @@ def serve(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: s
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        spark.conf.set("spark.sql.adaptive.enabled", "true")  # streams turn it off; a trigger's jobs are batch jobs
         target = f"{sink}/batch={number}"
         waited = time.time() - F.unix_micros("ts") / 1e6
         place = F.monotonically_increasing_id()  # partition and position in it
