@@ -229,6 +229,17 @@ def _sql_update(assigned: str) -> str:
       select cid, i, avg(v[i]) as m from {assigned}, (select unnest(range(1, 65)) as i) group by cid, i) group by cid"""
 
 
+def _sql_lloyd(rounds: int, clusters: str, metric: str = "l2") -> str:
+    """``v0`` to ``v<rounds>``, the centroids after so many updates, and ``own``, the
+    clusters of the vectors by the last ones used. Clusters without a row stay."""
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"a{k} as materialized ({_sql_assign(f'v{k - 1}', metric)}), u{k} as materialized ({_sql_update(f'a{k}')}), v{k} as materialized (select cid, coalesce(u{k}.v, o.v) as v from v{k - 1} o left join u{k} using (cid))")
+    return f"""{_VIEWS}, v0 as materialized (
+      select cast(row_number() over (order by md5(vec_id::varchar), vec_id) - 1 as integer) as cid, v from base qualify cid < {clusters}
+    ), {", ".join(steps)}, own as (select vec_id, cid from a{rounds})"""
+
+
 def _start(spark: SparkSession, sf_dir: str) -> np.ndarray:
     rows = kmeans.start_rows(_vectors(spark, sf_dir), CLUSTERS).orderBy("cid").collect()
     return np.array([list(r["embedding"]) for r in rows], float)
@@ -254,6 +265,12 @@ def _add_assignments() -> None:
         select vec_id, cid from a3"""
         _register(f"kmeans_fit_{metric}", steps)(fit)
 
+        def converged(spark: SparkSession, sf_dir: str, metric: str = metric) -> DataFrame:
+            return kmeans.fit(_vectors(spark, sf_dir), CLUSTERS, metric=metric).assignments
+
+        # To the operator's own end. The SQL goes on beyond it, where nothing moves.
+        _register(f"kmeans_converged_{metric}", f"{_sql_lloyd(60, str(CLUSTERS), metric)} select vec_id, cid from own")(converged)
+
 
 _add_assignments()
 _FIRST = f"{_INIT}, a as materialized ({_sql_assign('start', 'l2')}), u as materialized ({_sql_update('a')})"
@@ -353,18 +370,6 @@ def knn_batch_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUNDS = 10
 
 
-def _sql_lloyd(rounds: int) -> str:
-    """``v0`` to ``v<rounds>``, the centroids after so many updates, and ``own``, the
-    clusters of the vectors by the last ones used. Clusters without a row stay."""
-    steps = []
-    for k in range(1, rounds + 1):
-        steps.append(f"a{k} as materialized ({_sql_assign(f'v{k - 1}', 'l2')}), u{k} as materialized ({_sql_update(f'a{k}')}), v{k} as materialized (select cid, coalesce(u{k}.v, o.v) as v from v{k - 1} o left join u{k} using (cid))")
-    return f"""{_VIEWS}, v0 as materialized (
-      select cast(row_number() over (order by md5(vec_id::varchar), vec_id) - 1 as integer) as cid, v from base
-      qualify cid < greatest(1, round_even(sqrt((select count(*) from base)), 0))
-    ), {", ".join(steps)}, own as (select vec_id, cid from a{rounds})"""
-
-
 def _sql_chosen_recall(index: str, centroids: str) -> str:
     """Recall by query with the fewest probes for a mean of LEAST_RECALL, from
     ``own(vec_id, cid)`` and the centroids ``(cid, v)``."""
@@ -381,7 +386,7 @@ def _sql_chosen_recall(index: str, centroids: str) -> str:
     ) select qid, count(*) filter (where rank <= (select probes from chosen)) / {K}.0::double as recall from ranked group by qid"""
 
 
-@_register("ann_kmeans_recall", _sql_chosen_recall(_sql_lloyd(ROUNDS), f"v{ROUNDS}"))
+@_register("ann_kmeans_recall", _sql_chosen_recall(_sql_lloyd(ROUNDS, "greatest(1, round_even(sqrt((select count(*) from base)), 0))"), f"v{ROUNDS}"))
 def ann_kmeans_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall over an index from K-means with the default number of clusters, with
     the fewest probes for a mean of LEAST_RECALL."""
