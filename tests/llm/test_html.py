@@ -98,6 +98,11 @@ def test_forms_go_unless_they_frame_the_page():
     assert html.main_text(page(f"<article>{one}</article>{related}")) == LONG
 
 
+def test_hidden_inline_text_goes():
+    text = f"<article><p>{LONG} <span hidden>no <span>no</span> no</span>yes <i style='display: none'>no</i><b aria-hidden=true>no</b>end.</p><p>{LONG}<span hidden>no</p><p>{LONG}</p></article>"
+    assert html.main_text(page(text)).split("\n\n") == [f"{LONG} yes end.", LONG, LONG]
+
+
 def test_edges_decide():
     """Blocks that their own score would put on the wrong side."""
     pages = {

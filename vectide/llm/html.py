@@ -112,6 +112,11 @@ def _named(value: str, own: frozenset[str]) -> tuple[float, float]:
     return words_only, among
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = "".join(attributes.get("style", "").lower().split())
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style
+
+
 class _Element:
     """``firm`` and ``loose`` are the element's own evidence; ``evidence`` the sum
     with its ancestors', once the page's text is placed."""
@@ -147,9 +152,7 @@ class _Element:
             elif role in ("main", "article"):
                 self.firm += 2.5
                 self.inside = role
-            style = "".join(held.get("style", "").lower().split())
-            if "hidden" in held or held.get("aria-hidden", "").lower() == "true" or "display:none" in style:
-                self.dropped = True
+            self.dropped |= _hidden(held)
 
 
 def _weigh(elements: list[_Element]) -> None:
@@ -177,14 +180,17 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
     elements = [top]
     here, at = top, 0
     link_in: _Element | None = None  # the element in which a link is open
+    mute: list | None = None  # an open hidden inline element: its name, how many deep, and where
     open_names: Counter[str] = Counter()
     pieces: list[str] = []
     link_size = 0
 
     def close() -> None:
-        nonlocal here, link_in
+        nonlocal here, link_in, mute
         if here is link_in:
             link_in = None
+        if mute and here is mute[2]:
+            mute = None
         open_names[here.name] -= 1
         here = here.parent
 
@@ -202,7 +208,7 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
 
     def add(text: str) -> None:
         nonlocal link_size
-        if not here.dropped:
+        if not here.dropped and mute is None:
             text = unescape(text) if "&" in text else text
             pieces.append(text)
             if link_in is not None:
@@ -223,6 +229,11 @@ def blocks(html: str) -> list[tuple[str, float, _Element]]:
             pieces.append(" ")
             continue
         if name not in _BLOCK and name not in _DROPPED:
+            if mute and name == mute[0]:
+                mute[1] += -1 if end else 1
+                mute = mute if mute[1] else None
+            elif mute is None and not end and name not in _VOID and ("hidden" in m[4].lower() or "none" in m[4].lower()) and _hidden(attributes_of(m[4])):
+                mute = [name, 1, here]
             continue
         flush()
         if name in _VOID:
