@@ -240,10 +240,11 @@ def statistics(text: str) -> Counter:
             out[f"digits|{numbers[i]}|{label}"] += 1
     for name, edges in (("chain", chain), ("skip", skip)):
         for i, j in edges:
-            if nodes[i][3] and nodes[j][3]:
-                for x, y in ((i, j), (j, i)):
-                    if x in numbers:
-                        out[f"edge|{name}|{numbers[x]}|{nodes[x][2]}|{nodes[y][2]}"] += 1
+            for x, y in ((i, j), (j, i)):
+                # A number beside a span that the patterns don't take speaks against chains;
+                # one of the same form as a span may be what they miss.
+                if x in numbers and nodes[y][3] and (nodes[x][3] or name == "chain"):
+                    out[f"edge|{name}|{numbers[x]}|{nodes[x][2] if nodes[x][3] else 'none'}|{nodes[y][2]}"] += 1
     if "=" in text or ":" in text:
         named = {m.start(1) for m in _NAMED.finditer(text)}
         for m in _ASSIGNED.finditer(text):
