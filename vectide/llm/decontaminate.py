@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import threading
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -153,10 +154,18 @@ class Automaton:
 
 
 _BUILT: dict[str, Automaton] = {}
+_RELEASE: list[threading.Timer] = []
+#: Seconds that an idle Python worker keeps an automaton.
+HELD_SECONDS = 20.0
 
 
 def _built(key: str, block: Broadcast, window: int) -> Automaton:
-    """The automaton of a block, kept in this Python worker until it needs another."""
+    """The automaton of a block, kept in this Python worker for its next tasks."""
+    for timer in _RELEASE:
+        timer.cancel()
+    _RELEASE[:] = [threading.Timer(HELD_SECONDS, _BUILT.clear)]
+    _RELEASE[0].daemon = True
+    _RELEASE[0].start()
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Automaton(block.value, window)
@@ -195,13 +204,25 @@ def _as_spans(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"start": a, "end": b} for a, b in spans] for spans in found], _ARROW_SPANS)
 
 
+Finish = Callable[[pa.RecordBatch, list[int], list[list[tuple[int, int]]], list[list[str]]], pa.RecordBatch]
+
+
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 150_000, into: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (array of word spans, merged) and
     ``items`` (sorted ids), or as named by ``into``; columns so named are replaced."""
-    spark = docs.sparkSession
     state = docs.drop(*into)
-    at = state.columns.index(text_col)
     schema = T.StructType(list(state.schema)).add(into[0], "long").add(into[1], _SPANS).add(into[2], T.ArrayType(T.StringType()))
+
+    def finish(batch: pa.RecordBatch, counts: list[int], spans: list[list[tuple[int, int]]], names: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), _as_spans(spans), pa.array(names, _ARROW_NAMES)], names=schema.fieldNames())
+
+    return _matched(state, items, text_col, item_id, item_text, window, block_words, schema, finish)
+
+
+def _matched(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block_words: int, schema: T.StructType, finish: Finish) -> DataFrame:
+    """What ``finish`` makes of each batch of ``docs`` and its word counts, spans and items."""
+    spark = docs.sparkSession
+    at = docs.columns.index(text_col)
     count = _block_count(items, item_text, block_words)
     blocks = ((uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in _blocks(items, item_id, item_text, count))
     if count == 1:
@@ -210,30 +231,25 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _built(key, shared, window)
             for batch in slices(batches):
-                counts, spans, names = [], [], []
-                for text in texts(batch.column(at)):
-                    words = words_of(text)
-                    found, ids = automaton.match(words)
-                    counts.append(len(words))
-                    spans.append(found)
-                    names.append(sorted(ids))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), _as_spans(spans), pa.array(names, _ARROW_NAMES)], names=schema.fieldNames())
-
-        return state.mapInArrow(run, schema)
-
-    found = _hits_by_text(state, text_col, blocks, window)
-    hashed, spans, names = (fresh(c, state) for c in ("__hash", "__spans", "__names"))
+                words = [words_of(t) for t in texts(batch.column(at))]
+                found = [automaton.match(w) for w in words]
+                yield finish(batch, list(map(len, words)), [spans for spans, _ in found], [sorted(ids) for _, ids in found])
+
+        return docs.mapInArrow(run, schema)
+
+    found = _hits_by_text(docs, text_col, blocks, window)
+    hashed, spans, names = (fresh(c, docs) for c in ("__hash", "__spans", "__names"))
     found = found.select(F.col("hash").alias(hashed), F.col("hits").alias(spans), F.col("items").alias(names))
-    joined = state.withColumn(hashed, _text_hash(text_col)).join(found, hashed, "left").select(*[F.col(f"`{c}`") for c in state.columns], spans, names)
+    joined = docs.withColumn(hashed, _text_hash(text_col)).join(found, hashed, "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans, names)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts = [len(words_of(t)) for t in texts(batch.column(at))]
             merged = [_merged([(x["start"], x["end"]) for part in h or () for x in part]) for h in batch.column(batch.num_columns - 2).to_pylist()]
             ids = [sorted({x for part in n or () for x in part}) for n in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64()), _as_spans(merged), pa.array(ids, _ARROW_NAMES)], names=schema.fieldNames())
+            yield finish(batch.select(list(range(batch.num_columns - 2))), counts, merged, ids)
 
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(run_joined, schema)
 
 
 def _text_hash(text_col: str) -> F.Column:
@@ -282,26 +298,22 @@ def remove_hits(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", most_coverage: float = 0.5, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 150_000, most_coverage: float = 0.5) -> DataFrame:
     """``docs`` without hit spans in the text; documents of which more than
-    ``most_coverage`` of the words are hit go. Documents without a hit are unchanged."""
-    n_words, hits, names_ = (fresh(c, docs) for c in ("__n_words", "__hits", "__items"))
-    found = scan(docs, items, text_col, into=(n_words, hits, names_), **options)
-    hit = F.aggregate(hits, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    found = found.where(hit <= most_coverage * F.col(n_words))
-    names, schema = docs.columns, docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            columns = batch.columns[: len(names)]
-            at = names.index(text_col)
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            if any(spans):
-                old = columns[at].to_pylist()
-                columns[at] = pa.array([remove_hits(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(old, spans)], columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.select(*[F.col(f"`{c}`") for c in names], hits).mapInArrow(run, schema)
+    ``most_coverage`` of the words are hit go. Documents without a hit are unchanged.
+    Texts are matched and cut in one pass, in one Python worker a task."""
+    at = docs.columns.index(text_col)
+
+    def finish(batch: pa.RecordBatch, counts: list[int], spans: list[list[tuple[int, int]]], names: list[list[str]]) -> pa.RecordBatch:
+        if not any(spans):
+            return batch
+        kept = [k for k, s in enumerate(spans) if sum(b - a for a, b in s) <= most_coverage * counts[k]]
+        batch = batch.take(pa.array(kept, pa.int64()))
+        columns = list(batch.columns)
+        columns[at] = pa.array([remove_hits(t, spans[k]) if spans[k] else t for k, t in zip(kept, columns[at].to_pylist())], columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return _matched(docs, items, text_col, item_id, item_text, window, block_words, docs.schema, finish)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
