@@ -122,18 +122,19 @@ class Nearest:
 
 
 def _query_blocks(queries: DataFrame, query_bytes: int, more: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
-    """(ids, vectors, k, further columns) of the queries, in blocks of bounded size;
-    ``more`` bytes are what the further columns of a query take."""
-    row_bytes = lambda d: 8 * d + 16 + more
+    """(ids, vectors, k, further columns) of the queries, in blocks of bounded size:
+    by their vectors, the rows that are kept for them and the ``more`` bytes of the
+    further columns of a query."""
+    row_bytes = lambda d, k: 8 * (d or 0) + 24 * (k or 0) + 16 + more
     few = queries.limit(FEW + 1).toArrow()
-    if few.num_rows <= FEW and few.num_rows * row_bytes(pc.max(pc.list_value_length(few.column(1))).as_py() or 0) <= query_bytes:
+    if few.num_rows <= FEW and few.num_rows * row_bytes(pc.max(pc.list_value_length(few.column(1))).as_py(), pc.max(few.column(2)).as_py()) <= query_bytes:
         if few.num_rows:
             yield _query_block(few)
         return
     queries = queries.persist()  # read more than once; what is lost is computed again
     try:
-        size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
-        count = max(1, -(-size["n"] * row_bytes(size["d"] or 0) // query_bytes))
+        size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d"), F.max("k").alias("k")).first()
+        count = max(1, -(-size["n"] * row_bytes(size["d"], size["k"]) // query_bytes))
         for block in range(count):
             rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block).toArrow()
             if rows.num_rows:
