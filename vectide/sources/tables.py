@@ -28,14 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back.
+#: A narrow table has a file for so many shuffle partitions.
+NARROW = 8
+
+
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back. A ``narrow``
+    table, of a few numbers a row, goes into an eighth of the files that shuffles have
+    partitions, though not fewer than there are cores.
 
     This cuts the lineage and survives the loss of executors. ``remove`` deletes
     it; what a result still reads stays, and the folder's owner cleans it up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if narrow:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions // NARROW))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
