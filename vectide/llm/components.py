@@ -37,7 +37,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for every linked node but the roots; root is the smallest
     node reachable. Self links and rows with nulls are ignored."""
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("p"), F.col(b).alias("q"))
-    pairs = written(pairs.where("p <> q").select("a", "b").distinct(), "links")
+    pairs = written(pairs.where("p <> q").select("a", "b").distinct(), "links", narrow=True)
     state = None
     while True:
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -46,5 +46,5 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             out.written_to = pairs.written_to  # for ``remove``
             return out
         state = (now["n"], now["h"])
-        before, pairs = pairs, written(_star(_star(pairs, large=True), large=False), "stars")
+        before, pairs = pairs, written(_star(_star(pairs, large=True), large=False), "stars", narrow=True)
         remove(before)

@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable and component_id the smallest id.
     """
     printed = written(fingerprints(docs, id_col, text_col, keep), "prints")
-    distinct = written(printed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = written(printed.groupBy("fp").agg(F.min("id").alias("least")), "distinct", narrow=True)
     roots = connected_components(near_links(distinct.select("fp"), distance), "a", "b")
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -259,7 +259,7 @@ def least_of_each(docs: DataFrame, rows: DataFrame, tag: str, found: DataFrame,
     if roots is not None:
         chosen = chosen.join(roots, F.col("by") == F.col("node"), "left").groupBy(F.coalesce("root", "by").alias("by")).agg(F.min("y").alias("y"))
     names = [fresh(c, rows) for c in ("__id", "__r", "__n")]
-    chosen = written(chosen.select(F.col("y.x.id").alias(names[0]), F.col("y.x.row").alias(names[1]), F.col("y.n").alias(names[2])), "kept")
+    chosen = written(chosen.select(F.col("y.x.id").alias(names[0]), F.col("y.x.row").alias(names[1]), F.col("y.n").alias(names[2])), "kept", narrow=True)
     match = (F.col(tag) == F.col(names[1])) & F.col(f"`{id_col}`").eqNullSafe(F.col(names[0]))
     once = rows.join(chosen.where(f"{names[2]} = 1"), match, "left_semi")
     again = rows.join(chosen.where(f"{names[2]} > 1"), match, "left_semi").dropDuplicates([tag, id_col])
