@@ -51,6 +51,11 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     width = min(width, len(words))
     digest, join = xxhash.xxh64_digest, b" ".join
     hashes = b"".join([digest(join(t), seed) for t in zip(*[words[i:] for i in range(width)])])
+    return majorities(hashes)
+
+
+def majorities(hashes: bytes) -> int:
+    """The fingerprint, as a signed 64-bit number, of big-endian hashes of shingles."""
     rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(rows), 60_000):
