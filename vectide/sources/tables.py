@@ -79,4 +79,5 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     out = spark.table(table)
     out.schema  # resolved while the catalogue still has the table; the files stay
     spark.sql(f"DROP TABLE {table}")
+    out.written_to = f"{shared_dir(spark)}/{table}"
     return out
